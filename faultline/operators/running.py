@@ -115,29 +115,27 @@ def exact_quantiles(df, keys, value, probs):
         .groupBy(*keys, F.col(value).cast("double").alias("_value"))
         .agg(F.count(F.lit(1)).alias("_count"))
     )
-    sizes = counts.groupBy(*keys).agg(F.sum("_count").alias("n"))
     placed = running(counts, keys, [value_level(F.col("_value"))], ["_value"], {"_before": ("sum", "_count")})
-    position = F.col("_prob") * (F.col("n") - 1)
-    wanted = sizes.select(
-        "*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("_prob")
-    ).select("*", F.floor(position).alias("_lo"), F.ceil(position).alias("_hi"), position.alias("_pos"))
-    # each value covers positions [_before, _before + _count); both neighbours are picked in one aggregate
     if keys:
-        hits = placed.join(wanted, keys)
+        sizes = counts.groupBy(*keys).agg(F.sum("_count").alias("n"))
+        placed = placed.join(sizes, keys)
     else:
-        hits = placed.join(F.broadcast(wanted), F.lit(True))
-    covers = lambda p: (F.col(p) >= F.col("_before")) & (F.col(p) < F.col("_before") + F.col("_count"))
-    return (
-        hits.where(covers("_lo") | covers("_hi"))
-        .groupBy(*keys, "_prob", "n", "_pos", "_lo")
-        .agg(
-            F.max(F.when(covers("_lo"), F.col("_value"))).alias("_vlo"),
-            F.max(F.when(covers("_hi"), F.col("_value"))).alias("_vhi"),
-        )
-        .select(
-            *keys,
-            F.col("_prob").alias("prob"),
-            (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_pos") - F.col("_lo"))).alias("quantile"),
-            "n",
-        )
+        placed = placed.withColumn("n", counts.agg(F.sum("_count")).scalar())
+
+    def covered(position):
+        return (position >= F.col("_before")) & (position < F.col("_before") + F.col("_count"))
+
+    def needed(p):
+        at = p * (F.col("n") - 1)
+        return covered(F.floor(at)) | covered(F.ceil(at))
+
+    grid = F.array(*[F.lit(float(p)) for p in probs])
+    at = F.col("prob") * (F.col("n") - 1)
+    hits = placed.select("*", F.explode(F.filter(grid, needed)).alias("prob"))
+    ends = hits.groupBy(*keys, "prob", "n").agg(
+        F.max(F.when(covered(F.floor(at)), F.col("_value"))).alias("_low"),
+        F.max(F.when(covered(F.ceil(at)), F.col("_value"))).alias("_high"),
+    )
+    return ends.select(
+        *keys, "prob", (F.col("_low") + (F.col("_high") - F.col("_low")) * (at - F.floor(at))).alias("quantile"), "n"
     )
