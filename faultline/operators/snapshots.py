@@ -290,13 +290,17 @@ def sensitivity(snapshots, grid=None, label="future_bug_fix"):
     """
     cells = [(s, c, t) for s, c, ts in (grid or SENSITIVITY_GRID) if c in snapshots.columns for t in ts]
     y = F.col(label).cast("double")
+    n, sy = F.count(F.lit(1)).cast("double"), F.sum(y)
     parts = []
     for k, (_, column, t) in enumerate(cells):
         active = F.coalesce(F.col(column), F.lit(0)) >= t
+        na, say = F.count_if(active).cast("double"), F.coalesce(F.sum(F.when(active, y)), F.lit(0.0))
+        # correlation from sums, as a flag that never varies must give 0 and not an error
+        spread = F.sqrt((n * na - na * na) * (n * F.sum(y * y) - sy * sy))
         parts += [
             F.count_if(active).alias(f"n{k}"),
             F.avg(F.when(active, y)).alias(f"rate{k}"),
-            F.corr(active.cast("double"), y).alias(f"r{k}"),
+            F.try_divide(n * say - sy * na, spread).alias(f"r{k}"),
         ]
     wide = snapshots.agg(*parts)
     rows = F.array(
@@ -304,7 +308,7 @@ def sensitivity(snapshots, grid=None, label="future_bug_fix"):
             F.struct(
                 F.lit(s).alias("smell"), F.lit(t).alias("threshold"), F.col(f"n{k}").alias("active_snapshots"),
                 (F.coalesce(F.col(f"rate{k}"), F.lit(0.0)) * 100).alias("active_bug_rate"),
-                F.coalesce(F.nanvl(F.col(f"r{k}"), F.lit(0.0)), F.lit(0.0)).alias("defect_correlation"),
+                F.coalesce(F.col(f"r{k}"), F.lit(0.0)).alias("defect_correlation"),
             )
             for k, (s, _, t) in enumerate(cells)
         ]
