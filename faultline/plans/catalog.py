@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from faultline.plans import commits, features, history, snapshots  # noqa: F401
+from faultline.plans import commits, evaluation, features, folds, history, snapshots  # noqa: F401
 from faultline.plans.registry import ORACLES, QUERIES  # noqa: F401
