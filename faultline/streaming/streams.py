@@ -97,13 +97,17 @@ def label_stream(snapshots, fixes, key, window_days=90, delay="1 day"):
 class FileHistory(StatefulProcessor):
     """Running history of a key: events and errors so far, first time, days since the last, values seen.
 
-    State is a value of running totals and one small value per contributor kind; a
-    long quiet key is dropped by the time to live.
+    State is a value of running totals and a map of kinds. ttl_days drops keys that
+    stay quiet; it needs processing time, whose timer keeps a query from finishing by
+    itself, so it is for queries that run on.
     """
 
+    def __init__(self, ttl_days=None):
+        self._ttl = None if ttl_days is None else ttl_days * 86400 * 1000
+
     def init(self, handle):
-        self._totals = handle.getValueState("totals", "n long, fixes long, first double, last double", 400 * 86400 * 1000)
-        self._kinds = handle.getMapState("kinds", "kind string", "n long", 400 * 86400 * 1000)
+        self._totals = handle.getValueState("totals", "n long, fixes long, first double, last double", self._ttl)
+        self._kinds = handle.getMapState("kinds", "kind string", "n long", self._ttl)
 
     def handleInputRows(self, key, rows, timerValues):
         got = self._totals.get() if self._totals.exists() else None
@@ -128,10 +132,11 @@ class FileHistory(StatefulProcessor):
 FILE_HISTORY_SCHEMA = "file long, event_id long, previous_commits long, previous_fixes long, contributors long, age_days double, days_since_last double"
 
 
-def file_history_stream(events):
+def file_history_stream(events, ttl_days=None):
     """Per event the history of its file before it; events need file, event_id, ts, kind, is_fix."""
     return events.groupBy("file").transformWithStateInPandas(
-        statefulProcessor=FileHistory(), outputStructType=_schema(FILE_HISTORY_SCHEMA), outputMode="Append", timeMode="ProcessingTime"
+        statefulProcessor=FileHistory(ttl_days), outputStructType=_schema(FILE_HISTORY_SCHEMA), outputMode="Append",
+        timeMode="None" if ttl_days is None else "ProcessingTime",
     )
 
 
