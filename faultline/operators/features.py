@@ -270,22 +270,41 @@ def quantile_rank(df, columns, table, points=101):
     return with_table.select(*df.columns, *[place(c).alias(f"qrank_{c}") for c in columns])
 
 
+SMALL_COMMIT = 64
+
+
 def cochange_totals(changes):
     """Per file: commits, co-changes (other files over all its commits), and exact distinct peers.
 
-    Pairs are not listed: a commit with n files would give n*n rows. The files of a
-    commit are kept as bitmaps over the repository's file numbers, 32,768 per bitmap;
-    the bitwise or over a file's commits, less the file itself, counts its peers.
+    Pairs are never shuffled: a commit with n files would give n*n rows. Peers are
+    kept as bitmaps over the repository's file numbers, 32,768 per bitmap, and the
+    bits set for a file, less its own, count its peers. A commit of up to
+    SMALL_COMMIT files hands each of them its short list of numbers; a larger one
+    hands them its bitmaps, so its cost stays proportional to its files.
     """
     members = changes.select("repo", "commit_id", "file_path").distinct()
-    numbered = _file_numbers(members)
-    coded = members.join(numbered, FILE)
-    per_commit = coded.groupBy("repo", "commit_id").agg(F.count(F.lit(1)).alias("n_files"))
-    maps = coded.groupBy("repo", "commit_id", F.expr("bitmap_bucket_number(number)").alias("bucket")).agg(
+    per_commit = members.groupBy("repo", "commit_id").agg(F.count(F.lit(1)).alias("n_files"))
+    coded = members.join(_file_numbers(members), FILE).join(per_commit, ["repo", "commit_id"])
+    small, large = coded.where(F.col("n_files") <= SMALL_COMMIT), coded.where(F.col("n_files") > SMALL_COMMIT)
+
+    lists = small.groupBy("repo", "commit_id").agg(F.collect_list(F.struct("file_path", "number")).alias("files"))
+    from_small = (
+        lists.select("repo", F.inline("files"), F.col("files.number").alias("numbers"))
+        .select(*FILE, F.explode("numbers").alias("peer"))
+        .groupBy(*FILE, F.expr("bitmap_bucket_number(peer)").alias("bucket"))
+        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(peer))").alias("bits"))
+    )
+    maps = large.groupBy("repo", "commit_id", F.expr("bitmap_bucket_number(number)").alias("bucket")).agg(
         F.expr("bitmap_construct_agg(bitmap_bit_position(number))").alias("bits")
     )
+    from_large = (
+        large.select("repo", "commit_id", "file_path")
+        .join(maps, ["repo", "commit_id"])
+        .groupBy(*FILE, "bucket")
+        .agg(F.expr("bitmap_or_agg(bits)").alias("bits"))
+    )
     peers = (
-        members.join(maps, ["repo", "commit_id"])
+        from_small.unionByName(from_large)
         .groupBy(*FILE, "bucket")
         .agg(F.expr("bitmap_or_agg(bits)").alias("bits"))
         .groupBy(*FILE)

@@ -12,6 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from faultline.operators.running import DAY, day_level, month_level, rank_level, ranked, running
+from faultline.session import materialize
 
 FILE = ["repo", "file_path"]
 
@@ -130,7 +131,8 @@ def _entropy(total, xlogx):
 
 def file_history(changes, snapshots, recent_days=30, active_days=7):
     """History metrics of each snapshot from the changes strictly before it, whole past."""
-    ranked_rows = ranked_changes(changes)
+    # five branches below start from the ranked changes, so these are written once
+    ranked_rows = materialize(ranked_changes(changes), "ranked")
     snaps = with_ts(snapshots)
     points = snaps.select(*FILE, "ts").unionByName(
         snaps.select(*FILE, (F.col("ts") - recent_days * DAY).alias("ts"))
@@ -173,7 +175,8 @@ def last_n_history(changes, snapshots, last=100, recent_days=30, active_days=7):
     Concentration is the sum of squared author shares, the mean gap is in hours,
     ages are whole days, experience is commits / 50 up to 1.
     """
-    ranked_rows = ranked_changes(changes)
+    # five branches below start from the ranked changes, so these are written once
+    ranked_rows = materialize(ranked_changes(changes), "ranked")
     snaps = with_ts(snapshots)
     points = snaps.select(*FILE, "ts").unionByName(
         snaps.select(*FILE, (F.col("ts") - recent_days * DAY).alias("ts"))

@@ -13,6 +13,7 @@ from faultline.operators import evaluation
 from faultline.operators.features import GROUPS
 from faultline.operators.running import hash_level, ranked
 from faultline.operators.scoring import clip_probability, risk_tier
+from faultline.session import materialize
 
 LABEL = "future_bug_fix"
 
@@ -74,7 +75,7 @@ class Fitted:
 
 
 def train(df, columns, name, **overrides):
-    ready = doubles(df, columns)
+    ready = doubles(df.select(LABEL, *columns), columns)
     stages, flagged = preprocessor(ready, columns)
     weighted = with_class_weights(with_flags(ready, flagged))
     model = Pipeline(stages=[*stages, classifier(name, **overrides)]).fit(weighted)
@@ -158,17 +159,20 @@ KEYS = ["regime", "model", "feature_group", "key"]
 
 
 def run_temporal_cv(df, name, group, n_folds=10, file="canonical_file_id", **overrides):
+    df = materialize(df, "folds")
     scores = _run(temporal_frames(df, n_folds, file), "temporal_cv", name, group, group_columns(df, group), overrides)
     return evaluation.fold_metrics(scores, KEYS)
 
 
 def run_lopo(df, name, group, **overrides):
+    df = materialize(df, "folds")
     scores = _run(lopo_frames(df), "lopo", name, group, group_columns(df, group), overrides)
     return evaluation.fold_metrics(scores, KEYS)
 
 
 def run_all(df, names, groups, n_folds=10, file="canonical_file_id", overrides=None):
     """Every model on every group in both regimes: one long results table."""
+    df = materialize(df, "experiment")
     out = None
     for name in names:
         extra = (overrides or {}).get(name, {})
@@ -180,6 +184,7 @@ def run_all(df, names, groups, n_folds=10, file="canonical_file_id", overrides=N
 
 def tune(df, columns, name, grid, n_folds=4, file="canonical_file_id"):
     """Mean PR-AUC over time-ordered folds for each setting of a small grid, best first."""
+    df = materialize(df, "tune")
     out = None
     for i, setting in enumerate(grid):
         scores = _run(temporal_frames(df, n_folds, file), "tune", name, str(i), columns, setting)
@@ -275,6 +280,7 @@ def shuffled(df, column, key, seed=42):
 
 def permutation_importance(fitted, df, key, columns=None):
     """Loss of PR-AUC when a feature is shuffled, per feature."""
+    df = materialize(df, "permute")
     base = evaluation.average_precision(fitted.score(df), [], y=LABEL).withColumnRenamed("pr_auc", "base").scalar()
     out = None
     for c in columns or fitted.columns:

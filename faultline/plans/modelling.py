@@ -11,6 +11,7 @@ from faultline.operators.snapshots import cap_size
 from faultline.plans.evaluation import rounded
 from faultline.plans.folds import units
 from faultline.plans.registry import query, query_on_dir
+from faultline.session import materialize
 
 ROW = ["repo", "file_path", "commit_id"]
 COLUMNS = ["code_loc", "code_max_cyclomatic_complexity", "code_max_nesting_depth", "total_smells", "has_large_class", "has_deep_nesting", "has_high_complexity"]
@@ -18,7 +19,7 @@ NUMERIC = COLUMNS[:4]
 
 
 def split(sn):
-    parts = folds.time_split(sn, ROW)
+    parts = materialize(folds.time_split(sn, ROW), "split")
     return [parts.where(F.col("role") == r).drop("role") for r in ("train", "calibrate", "test")]
 
 
@@ -131,6 +132,7 @@ def linear_contributions(sn):
 
 @query("permutation_importance", "SN")
 def permutation_importance(sn):
+    sn = materialize(sn, "train")
     fitted = op.train(sn, NUMERIC, "logistic_regression", maxIter=5)
     return op.permutation_importance(fitted, sn, ROW, NUMERIC[:2])
 
@@ -140,6 +142,7 @@ def score_batch(src, fc):
     """Sources to metrics, heuristic risk and a model trained on labelled snapshots of the history."""
     metrics = source_metrics.smell_flags(source_metrics.code_metrics(cap_size(src)), "python")
     labelled = future_label(score_commits(fc), fc.select("repo", "file_path", "commit_id", "commit_date", "lines"))
-    fitted = op.train(labelled.select(F.col("lines").alias("loc"), F.col("label").alias("future_bug_fix")), ["loc"], "logistic_regression", maxIter=5)
+    rows = materialize(labelled.select(F.col("lines").alias("loc"), F.col("label").alias("future_bug_fix")), "train")
+    fitted = op.train(rows, ["loc"], "logistic_regression", maxIter=5)
     heuristic = scoring.python_heuristic(*[F.col(c) for c in ("max_cyclomatic_complexity", "max_nesting_depth", "total_smells", "loc", "maintainability_index")])
     return op.score_batch(metrics, fitted, heuristic).select("repo", "file_path", "engine", "risk_probability", "risk_tier")

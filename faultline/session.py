@@ -37,3 +37,11 @@ def work_folder(spark, label):
     if base is None:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return f"{base.rstrip('/')}/{label}-{os.urandom(8).hex()}"
+
+
+def materialize(df, label):
+    """Write df once to the shared work folder and go on from there: later steps neither repeat
+    its lineage nor lose it with an executor."""
+    folder = work_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
