@@ -81,6 +81,5 @@ PYTHON_PARAMS = r"(?m)^\s*(?:async\s+)?def\s+\w+\s*\(([^)]*)\)"
 PYTHON_CLASS = r"^\s*class\s+\w+"
 PYTHON_IMPORT = r"(?m)^\s*(?:import|from)\s+\w"
 PYTHON_BRANCH = r"\b(?:if|elif|for|while|except|and|or)\b"
-PYTHON_CONTROL = r"^\s*(?:async\s+)?(?:if|elif|for|while|with|try|except)\b"
-PYTHON_STRUCTURE = r"^\s*(?:async\s+)?(?:if|elif|for|while|try)\b"
+PYTHON_HEADER = r"^\s*(?:async\s+)?(if|elif|else|for|while|with|try|except|finally|def)\b"
 PYTHON_BOOLEAN = r"\b(?:and|or)\b"

@@ -242,26 +242,45 @@ def indented_spans(lines, header):
 def python_blocks(lines):
     """Struct nesting, cognitive of a Python text from its indentation.
 
-    nesting is the greatest number of open control blocks. cognitive adds, for
-    each if, loop and try, one more than the number of blocks and functions it
-    is in; for an inner function that number; and one per boolean operator.
+    Depths follow a syntax tree: an elif lies inside the if before it, a handler
+    inside its try, an else at the depth of what it belongs to. nesting is the
+    greatest depth of control blocks. cognitive adds, for each if, loop and try,
+    one more than the depth of blocks and functions around it; for an inner
+    function that depth; and one per boolean operator.
     """
     zero = F.struct(
-        F.array().cast("array<struct<indent:int,control:boolean,counts:boolean>>").alias("open"),
+        F.array().cast("array<struct<indent:int,word:string,depth:int,load:int>>").alias("open"),
         F.lit(0).alias("nesting"), F.lit(0).alias("cognitive"),
     )
 
+    def total(blocks, field):
+        return F.aggregate(blocks, F.lit(0), lambda n, b: n + b[field])
+
     def step(a, line):
         indent = indent_width(line)
+        word = F.regexp_extract(line, lang.PYTHON_HEADER, 1)
         kept = F.filter(a["open"], lambda b: b["indent"] < indent)
-        control, structure, inner = line.rlike(lang.PYTHON_CONTROL), line.rlike(lang.PYTHON_STRUCTURE), line.rlike(lang.PYTHON_DEF)
-        within = F.size(F.filter(kept, lambda b: b["counts"]))
-        depth = F.size(F.filter(kept, lambda b: b["control"])) + control.cast("int")
-        block = F.struct(indent.alias("indent"), control.alias("control"), (structure | inner).alias("counts"))
-        gained = F.when(structure, within + 1).when(inner, within).otherwise(0) + F.regexp_count(line, F.lit(lang.PYTHON_BOOLEAN))
+        beside = F.get(F.filter(a["open"], lambda b: b["indent"] == indent), F.lit(0))
+        beside_depth, beside_load = F.coalesce(beside["depth"], F.lit(0)), F.coalesce(beside["load"], F.lit(0))
+        plain = word.isin("if", "for", "while", "try")
+        depth = (
+            F.when(plain | word.isin("with", "finally"), 1).when(word == "elif", beside_depth + 1).when(word == "except", 2)
+            .when(word == "else", F.when(beside["word"] == "except", 1).otherwise(beside_depth)).otherwise(0)
+        )
+        load = (
+            F.when(plain | word.isin("def", "except", "finally"), 1).when(word == "elif", beside_load + 1)
+            .when(word == "else", beside_load).otherwise(0)
+        )
+        around = total(kept, "load")
+        gained = (
+            F.when(plain, around + 1).when(word == "elif", around + beside_load + 1).when(word == "def", around).otherwise(0)
+            + F.regexp_count(line, F.lit(lang.PYTHON_BOOLEAN))
+        )
+        block = F.struct(indent.alias("indent"), word.alias("word"), depth.alias("depth"), load.alias("load"))
         moved = F.struct(
-            F.when(control | inner, F.concat(kept, F.array(block))).otherwise(kept).alias("open"),
-            F.greatest(a["nesting"], depth).alias("nesting"), (a["cognitive"] + gained).alias("cognitive"),
+            F.when(word != "", F.concat(kept, F.array(block))).otherwise(kept).alias("open"),
+            F.greatest(a["nesting"], total(kept, "depth") + depth).alias("nesting"),
+            (a["cognitive"] + gained).alias("cognitive"),
         )
         return F.when(_blank(line) | line.rlike(r"^\s*#"), a).otherwise(moved)
 
