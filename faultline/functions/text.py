@@ -73,12 +73,15 @@ def _count_hits(text, patterns):
     return total
 
 
-def score_counts(message, match_issue_keys=False):
-    """The four capped counts (k, i, s, n) of a message column.
+def clean_text(message):
+    return F.trim(F.lower(message))
+
+
+def score_counts(text, message, match_issue_keys=False):
+    """The four capped counts (k, i, s, n) of a message; text is clean_text(message), as a column of its own.
 
     match_issue_keys also counts tracker keys such as ABC-12 in the raw message.
     """
-    text = F.trim(F.lower(message))
     any_word = F.lit(False)
     for w in FIX_WORDS:
         any_word = any_word | text.contains(w)

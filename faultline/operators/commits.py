@@ -3,13 +3,14 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from faultline.functions.text import DEFAULT_THRESHOLD, raw_score, rule_annotation, score_counts, stratum
+from faultline.functions.text import DEFAULT_THRESHOLD, clean_text, raw_score, rule_annotation, score_counts, stratum
 
 
 def score_commits(commits, threshold=DEFAULT_THRESHOLD, match_issue_keys=False):
     """Add score, k, i, s, n, is_bug_fix, noise_dominated."""
-    k, i, s, n = score_counts(F.col("message"), match_issue_keys)
-    counted = commits.select("*", k.alias("k"), i.alias("i"), s.alias("s"), n.alias("n"))
+    cleaned = commits.withColumn("_text", clean_text(F.col("message")))
+    k, i, s, n = score_counts(F.col("_text"), F.col("message"), match_issue_keys)
+    counted = cleaned.select(*commits.columns, k.alias("k"), i.alias("i"), s.alias("s"), n.alias("n"))
     weighed = counted.withColumn("_raw", raw_score(F.col("k"), F.col("i"), F.col("s"), F.col("n")))
     noisy = (F.col("n") >= 2) & (F.col("s") == 0)
     return weighed.select(

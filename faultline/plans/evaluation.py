@@ -65,9 +65,9 @@ def brier(pr):
 BINS = "b AS (SELECT repo, least(floor(p_full * 10), 9)::INT AS bin, count(*) AS rows, avg(p_full) AS mean_predicted, avg(y) AS observed_rate FROM pr_predictions GROUP BY 1, 2)"
 
 
-@query("calibration_bins", "PR", f"WITH {BINS} SELECT repo, bin, rows, round(mean_predicted, 8) AS mean_predicted, round(observed_rate, 8) AS observed_rate FROM b")
+@query("calibration_bins", "PR", f"WITH {BINS} SELECT repo, bin, rows, round(mean_predicted, 12) AS mean_predicted, round(observed_rate, 12) AS observed_rate FROM b")
 def calibration_bins(pr):
-    return rounded(op.calibration_bins(pr, ["repo"], p="p_full"))
+    return rounded(op.calibration_bins(pr, ["repo"], p="p_full"), 12)
 
 
 @query("ece", "PR", f"WITH {BINS} SELECT repo, round(sum(abs(observed_rate - mean_predicted) * rows) / sum(rows), 8) AS ece FROM b GROUP BY repo")
