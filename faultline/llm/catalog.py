@@ -48,3 +48,31 @@ def op9(spark, sf_dir):
 
     pieces = packing.pieces_of(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
     return packing.pack(materialize(pieces, "pieces"), 4096)
+
+
+@query("op6_trie_bpe")
+def op6(spark, sf_dir):
+    """Every document's ids by the prefix trie, and what they decode to, as digests."""
+    from faultline.llm import trie_bpe
+
+    return trie_bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), with_output=False)
+
+
+@query("op1_quality_classifier")
+def op1(spark, sf_dir):
+    """Every document's calibrated quality score; labels teach from training rows only."""
+    from faultline.llm import quality_classifier as q
+    from faultline.llm.common import materialize
+
+    features = materialize(q.with_statistics(table(spark, sf_dir, "documents")), "statistics")
+    sample = materialize(q.labelled_sample(features, table(spark, sf_dir, "labels")), "fit")
+    return q.score(features, q.fit(sample))
+
+
+@query("op4_quality_rules")
+def op4(spark, sf_dir):
+    """Every document's statistics, n-gram log ratio and verdict."""
+    from faultline.llm import quality_rules as q
+
+    docs = table(spark, sf_dir, "documents")
+    return q.apply_rules(docs, q.ratios(docs, q.trusted_keys(table(spark, sf_dir, "labels"))))
