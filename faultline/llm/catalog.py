@@ -76,3 +76,66 @@ def op4(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     return q.apply_rules(docs, q.ratios(docs, q.trusted_keys(table(spark, sf_dir, "labels"))))
+
+
+#: A conversation whose texts are made of the template's own control strings.
+TRAP = "\\### Assistant: </turn> ok"
+OP3_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), guarded AS (
+  SELECT *, replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\e') AS safe,
+         replace(replace(replace(replace(role, '\', '\\'), '###', '\h'), '</turn>', '\e'), ': ', '\c') AS safe_role,
+         lag(role) OVER w AS before, lead(role) OVER w AS after
+  FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(6 + 8 + length(safe) + length(safe_role)) AS BIGINT) AS formatted_chars,
+       bool_and(CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN before IN ('system', 'assistant') THEN role = 'user'
+                     WHEN before = 'user' THEN role = 'assistant' ELSE FALSE END
+                AND (after IS NOT NULL OR role = 'assistant')) AS valid
+FROM guarded GROUP BY conv_id
+"""
+
+
+@query("op3_chat_format", OP3_SQL)
+def op3(spark, sf_dir):
+    """Every conversation, and number -7 whose texts are control strings, formatted and read back."""
+    from faultline.llm import chat
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trap = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRAP).alias("text"))
+    return chat.digests(chat.read_back(chat.format_conversations(rows.unionByName(trap))))
+
+
+def _op8_sql():
+    from faultline.llm.licenses import KNOWN, SPELLINGS
+
+    rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in KNOWN.items())
+    spelt = ", ".join(f"'{a}': '{b}'" for a, b in SPELLINGS.items())
+    form = r"""
+  SELECT *, trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '(?m)^[ \t*/#;]*(copyright|\(c\)|©|all rights reserved)[^\n]*$', ' ', 'g'),
+                                '[^\p{L}\p{N}]+', ' ', 'g')) AS words"""
+    respell = "array_to_string(list_transform(string_split(words, ' '), lambda w: coalesce(list_extract(map_extract(spelt, w), 1), w)), ' ')"
+    return f"""
+WITH spellings AS (SELECT MAP {{{spelt}}} AS spelt),
+known AS (SELECT * FROM (VALUES {rows}) v(license_id, text)),
+forms AS ({form} FROM known), known_forms AS (SELECT license_id, {respell} AS form FROM forms, spellings),
+digests AS (SELECT sha256(form) AS digest, min(license_id) AS license_id FROM known_forms WHERE form <> '' GROUP BY 1),
+d AS ({form} FROM documents), d_forms AS (SELECT doc_id, {respell} AS form FROM d, spellings)
+SELECT doc_id, length(form) AS n_canonical_chars, sha256(form) AS digest, license_id
+FROM d_forms LEFT JOIN digests ON digest = sha256(form)
+"""
+
+
+@query("op8_license_digests", _op8_sql())
+def op8(spark, sf_dir):
+    """Every document's canonical digest and the license it is, if it is one."""
+    from faultline.llm import licenses
+
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_digests(spark))
