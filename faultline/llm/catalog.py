@@ -139,3 +139,45 @@ def op8(spark, sf_dir):
     from faultline.llm import licenses
 
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_digests(spark))
+
+
+def _op10_sql():
+    rules = [
+        ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+        ("access", "AKIA[A-Z0-9]+", 0, 16),
+        ("hex", "[0-9a-f]{32,}", 0, 32),
+        ("issued", r"gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----", 0, 1),
+    ]
+    found = []
+    for order, (kind, pattern, group, least) in enumerate(rules):
+        p = pattern.replace("'", "''")
+        found.append(f"""
+  SELECT row, '{kind}' AS kind, {order} AS kind_order, stop - length(m) AS start, stop
+  FROM (SELECT row, m, part, sum(length(gap) + length(m)) OVER (PARTITION BY row ORDER BY i) AS stop
+        FROM (SELECT row, unnest(regexp_split_to_array(text, '{p}')) AS gap, unnest(regexp_extract_all(text, '{p}', 0)) AS m,
+                     unnest(regexp_extract_all(text, '{p}', {group})) AS part, generate_subscripts(regexp_extract_all(text, '{p}', 0), 1) AS i
+              FROM d WHERE regexp_matches(text, '{p}')) WHERE m IS NOT NULL)
+  WHERE length(part) >= {least}""")
+    listed = "string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, kind_order)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({" UNION ALL ".join(found)}),
+per AS (SELECT row, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b, count(*) FILTER (kind = 'hex') AS c,
+               {listed} FILTER (kind_order < 3) AS base, {listed} AS spans FROM found GROUP BY row)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN per USING (row)
+"""
+
+
+@query("op10_secret_ledger", _op10_sql())
+def op10(spark, sf_dir):
+    """Every document's secrets, by way of a ledger that begins empty."""
+    from faultline.llm import secrets as s
+    from faultline.llm.common import work_folder
+
+    docs, ledger = table(spark, sf_dir, "documents"), s.Ledger(spark, work_folder(spark, "ledger"))
+    s.update(docs, ledger)
+    rows = s.by_path(docs, ledger.findings(s.RULE_VERSION))
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda x: x["kind_order"] < len(s.BASE))
+    return rows.select("doc_id", *(count(r.kind) for r in s.BASE), F.sha2(s.listed(base), 256).alias("base_sha256"), s.listed(F.col("spans")).alias("spans"))
