@@ -181,3 +181,16 @@ def op10(spark, sf_dir):
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda x: x["kind_order"] < len(s.BASE))
     return rows.select("doc_id", *(count(r.kind) for r in s.BASE), F.sha2(s.listed(base), 256).alias("base_sha256"), s.listed(F.col("spans")).alias("spans"))
+
+
+@query("op7_spot_fingerprints")
+def op7(spark, sf_dir):
+    """Every document's fingerprint, its edited text's, and how near it is to that and to the next document's."""
+    from faultline.llm import spots as s
+
+    rows = s.edits(table(spark, sf_dir, "documents")).withColumn("edited_marks", s.signatures(F.col("edited")))
+    return rows.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        s.fingerprint(F.col("marks")).alias("fingerprint"), s.fingerprint(F.col("edited_marks")).alias("edited_fingerprint"),
+        s.likeness(F.col("marks"), F.col("edited_marks")).alias("near_edited"), s.likeness(F.col("marks"), F.col("next_marks")).alias("near_next"),
+    )
