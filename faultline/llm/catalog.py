@@ -194,3 +194,11 @@ def op7(spark, sf_dir):
         s.fingerprint(F.col("marks")).alias("fingerprint"), s.fingerprint(F.col("edited_marks")).alias("edited_fingerprint"),
         s.likeness(F.col("marks"), F.col("edited_marks")).alias("near_edited"), s.likeness(F.col("marks"), F.col("next_marks")).alias("near_next"),
     )
+
+
+@query("op2_jaccard_join")
+def op2(spark, sf_dir):
+    """Every document's number of 4-word shingles and the component of its links at 85 %."""
+    from faultline.llm import jaccard_join as j
+
+    return j.grouped(*j.link(table(spark, sf_dir, "documents"), words_each=4, percent=85))
