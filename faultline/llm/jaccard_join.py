@@ -5,9 +5,11 @@ sets that are alike enough share at least l shingles among each one's first n -
 l that makes its estimated cost least: longer prefixes put it into more lists, but every list entry counts for only
 one in l of the matches that a candidate needs.
 
-Equal sets are one class. In each list all classes are compared with one of them, the hub, so a group of thousands of
-near copies becomes one component without its pairs; then pairs of a list that lie in different components are
-compared, those that share enough prefix shingles. No list, pair or candidate is cut off.
+Equal sets are one class. A class's home is the longest list that it is in. In each home all classes are compared with
+the one whose lists are longest, the hub, so most of a group of thousands of near copies becomes one component without its
+pairs. What is left of a long home is compared with all of it in blocks of bounded size, where only links come out;
+all other pairs in different components that share enough prefix shingles are compared one by one. No list, pair or
+candidate is cut off.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.common import chunks, materialize, texts_of, utf8
+from faultline.llm.common import chunks, materialize, spans_to_flat, texts_of, utf8
 from faultline.llm.components import components
 from faultline.llm.words import U, Words, mix
 
@@ -28,6 +30,8 @@ MOST_MATCHES, COMPARISON = 8, 100
 #: Bits of the filter of documents whose sets are wanted; it spares work, never rows.
 FILTER_BITS = 1 << 23
 STEP = 1 << 18
+#: Homes of more classes than this are compared in blocks, of about so many classes a side.
+LONG, SIDE = 32, 512
 
 
 class Sets:
@@ -106,7 +110,7 @@ def choose(often: np.ndarray, size: int, least: int) -> int:
 
 
 def prefixes(docs: DataFrame, words_each: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(token, key, size, matches): a row for every prefix shingle of every set; a task enters equal sets once."""
+    """(token, key, size, matches, place): a row for every prefix shingle of every set, by its place; a task enters equal sets once."""
     known, counts = common
 
     def run(batches):
@@ -132,10 +136,12 @@ def prefixes(docs: DataFrame, words_each: int, percent: int, common: tuple[np.nd
                     seen.clear()
                 own, matches = np.array(own, np.int64), np.array(matches, np.int64)
                 long = s.size[own] - least[own] + matches
-                at = np.repeat(s.first[own] - (np.cumsum(long) - long), long) + np.arange(int(long.sum()))
-                yield pa.RecordBatch.from_arrays([pa.array(token[at].view(np.int64)), pa.array(np.repeat(s.key[own], long)), pa.array(np.repeat(s.size[own], long).astype(np.int32)), pa.array(np.repeat(matches, long).astype(np.int8))], ["token", "key", "size", "matches"])
+                place = spans_to_flat(np.zeros(len(long), np.int64), long)
+                at = np.repeat(s.first[own], long) + place
+                columns = [token[at].view(np.int64), *(np.repeat(x, long) for x in (s.key[own], s.size[own].astype(np.int32), matches.astype(np.int8))), place.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "key", "size", "matches", "place"])
 
-    return texts_of(docs).select("text").mapInArrow(run, "token long, key long, size int, matches tinyint")
+    return texts_of(docs).select("text").mapInArrow(run, "token long, key long, size int, matches tinyint, place int")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words_each: int) -> DataFrame:
@@ -172,6 +178,62 @@ def verified(docs: DataFrame, pairs: DataFrame, words_each: int, percent: int) -
     return pairs.select("a", "b").join(left, "a").join(right, "b").where(alike).select("a", "b")
 
 
+def shared_enough(met: DataFrame, percent: int) -> DataFrame:
+    """(a, b): of rows that met on a token (a and b, each with _size, _matches and _place) the pairs that may be alike.
+
+    Two sets so alike share `need` shingles, so at least l among each one's first size - need + l, for the smaller l of the two.
+    """
+    need = F.ceil(percent * (F.col("a_size") + F.col("b_size")) / (100 + percent))
+    matches = F.least("a_matches", "b_matches")
+    early = (F.col("a_place") < F.col("a_size") - need + matches) & (F.col("b_place") < F.col("b_size") - need + matches)
+    return met.where(early).groupBy("a", "b").agg(F.count("*").alias("n"), F.first(matches).alias("matches")).where("n >= matches").select("a", "b")
+
+
+def _named(rows: DataFrame, name: str) -> DataFrame:
+    return rows.select("token", *(F.col(c).alias(name if c == "key" else f"{name}_{c}") for c in rows.columns if c != "token"))
+
+
+def home_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between different labels in each home. `rows` (home, key, size, label, n, in_largest) are all classes of
+    homes of n. Those outside the home's largest label are compared with all, a block of either at a time; of a
+    class's links to one label in a block, one comes out."""
+    parts = F.ceil(F.col("n") / SIDE).cast("int")
+    share = F.pmod(F.xxhash64("key"), parts).cast("int")
+    every = F.explode(F.sequence(F.lit(0), parts - 1))
+    left = rows.where("not in_largest").select("home", share.alias("i"), every.alias("j"), F.lit(True).alias("asks"), "key", "size", "label")
+    right = rows.select("home", every.alias("i"), share.alias("j"), F.lit(False).alias("asks"), "key", "size", "label")
+    asked = left.select("home", "i").distinct()
+    blocks = left.unionByName(right.join(asked, ["home", "i"], "left_semi")).join(sets, "key")
+
+    def compare(block):
+        asks = block.column("asks").to_numpy(zero_copy_only=False)
+        key, size, label = (block.column(c).to_numpy() for c in ("key", "size", "label"))
+        tokens = block.column("tokens").combine_chunks()
+        owner = np.repeat(np.arange(len(key)), np.diff(tokens.offsets.to_numpy()))
+        _, token, often = np.unique(tokens.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        kept = often[token] > 1
+        owner, token = owner[kept], np.unique(token[kept], return_inverse=True)[1]
+        a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
+        row = np.empty(len(key), np.int64)
+        row[a], row[b] = np.arange(len(a)), np.arange(len(b))
+        both = np.zeros((len(a), len(b)), np.float32)
+        for low in range(0, int(token.max(initial=-1)) + 1, 4096):
+            some = (token >= low) & (token < low + 4096)
+            sides = []
+            for wanted, n in ((True, len(a)), (False, len(b))):
+                mine = some & (asks[owner] == wanted)
+                m = np.zeros((n, 4096), np.float32)
+                m[row[owner[mine]], token[mine] - low] = 1
+                sides.append(m)
+            both += sides[0] @ sides[1].T
+        alike = (100 * both >= percent * (size[a][:, None] + size[b][None, :] - both)) & (label[a][:, None] != label[b][None, :])
+        x, y = np.nonzero(alike)
+        _, one = np.unique(np.column_stack([x, label[b][y]]), axis=0, return_index=True) if len(x) else (None, np.zeros(0, np.int64))
+        return pa.table({"a": key[a][x[one]], "b": key[b][y[one]]})
+
+    return blocks.groupBy("home", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def link(docs: DataFrame, words_each: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """(members, labels). `members` (doc_id, size, key) has each row of `docs`; `labels` (key, label) the component of each class that
     has a link. Links join two sets where 100 * intersection >= percent * union.
@@ -182,30 +244,38 @@ def link(docs: DataFrame, words_each: int = 4, percent: int = 85) -> tuple[DataF
     described = materialize(describe(docs, words_each, percent), "sets")
     token = Window.partitionBy("token")
     entries = prefixes(docs, words_each, percent, common_shingles(described))
-    ended = entries.withColumns({"hub": F.min("key").over(token), "last": F.max("key").over(token)})
-    lists = materialize(ended.where("hub <> last").drop("last").distinct(), "lists")
-    near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-
-    hubs = lists.where("key = hub").select("token", F.col("size").alias("hub_size")).distinct()
-    star = lists.where("key <> hub").join(hubs, "token").where(near(F.col("size"), F.col("hub_size")))
-    shared = star.groupBy("key", "hub").agg(F.count("*").alias("n"), F.first("size").alias("size"))
-    best = shared.groupBy("key").agg(F.max(F.struct("n", "hub")).alias("best"), F.first("size").alias("size"))
-    least = (100 - percent) * F.col("size") / 400  # a quarter of the shortest prefix: else it is left to the lists
-    first = materialize(best.where(F.col("best.n") >= least).select(F.col("key").alias("a"), F.col("best.hub").alias("b")), "stars")
+    ended = entries.withColumns({"first": F.min("key").over(token), "last": F.max("key").over(token)})
+    lists = materialize(ended.where("first <> last").drop("first", "last").distinct(), "lists")
+
+    lengths = lists.groupBy("token").agg(F.count("*").alias("n"))
+    per_key = lists.join(lengths, "token").groupBy("key").agg(F.max(F.struct("n", F.col("token").alias("home"))).alias("best"), F.avg(F.log("n")).alias("weight"), F.first("size").alias("size"))
+    homes = materialize(per_key.select("key", "best.home", "weight", "size"), "homes")
+    hubs = homes.groupBy("home").agg(F.max(F.struct("weight", "key")).alias("top"), F.count("*").alias("n")).select("home", F.col("top.key").alias("hub"), "n")
+    homes = homes.join(hubs, "home").select("key", "home", "hub", "size", "n")
+    asking = lists.join(homes.where("key <> hub").select("key", "hub"), "key")
+    told = lists.join(homes.select(F.col("hub").alias("key")).distinct(), "key", "left_semi")
+    star = _named(asking, "a").join(_named(told, "b"), ["token"]).where("a_hub = b")
+    first = materialize(shared_enough(star, percent), "stars")
     links = materialize(verified(docs, first, words_each, percent), "star-links")
-    labels = components(links)
+    labels = materialize(components(links), "star-labels")
+
+    at_home = homes.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    largest = at_home.groupBy("home", "label").agg(F.count("*").alias("m")).groupBy("home").agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("labels"))
+    apart = at_home.where(F.col("n") > LONG).join(largest.where("labels > 1").select("home", F.col("top.label").alias("largest")), "home")
+    apart = materialize(apart.select("home", "key", "size", "label", "n", (F.col("label") == F.col("largest")).alias("in_largest")), "long-homes")
+    links = links.unionByName(home_blocks(apart, sets_of(docs, apart.select("key"), words_each), percent))
+    links = materialize(links, "home-links")
+    labels = materialize(components(links), "home-labels")
 
-    placed = lists.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    placed = lists.join(homes.select("key", F.when(F.col("n") > LONG, F.col("home")).alias("home")), "key").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     each = placed.groupBy("token", "label").agg(F.count("*").alias("n"))
     open_lists = each.groupBy("token").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1").select("token", F.col("most.label").alias("largest"))
-    entered = materialize(placed.join(open_lists, "token").select("token", "key", "size", "matches", "label", (F.col("label") == F.col("largest")).alias("in_largest")), "open-lists")
-    left = entered.where("not in_largest").select("token", F.col("key").alias("a"), F.col("size").alias("a_size"), F.col("matches").alias("a_matches"), F.col("label").alias("a_label"))
-    right = entered.select("token", F.col("key").alias("b"), F.col("size").alias("b_size"), F.col("matches").alias("b_matches"), F.col("label").alias("b_label"), "in_largest")
-    met = left.join(right, "token").where((F.col("a_label") != F.col("b_label")) & (F.col("in_largest") | (F.col("a") < F.col("b"))) & near(F.col("a_size"), F.col("b_size")))
-    counted = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"), F.min(F.least("a_matches", "b_matches")).alias("matches"))
-    second = materialize(counted.where("n >= matches").select("a", "b"), "candidates")
-    more = verified(docs, second, words_each, percent)
-    return described.select("doc_id", "size", "key"), components(links.unionByName(more))
+    entered = placed.join(open_lists, "token").withColumn("in_largest", F.col("label") == F.col("largest")).drop("largest")
+    entered = materialize(entered, "open-lists")
+    met = _named(entered.where("not in_largest"), "a").join(_named(entered, "b"), "token")
+    met = met.where("a_label <> b_label and (b_in_largest or a < b) and not coalesce(a_home = b_home, false)").where(100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size"))
+    second = materialize(shared_enough(met, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    return described.select("doc_id", "size", "key"), components(links.unionByName(verified(docs, second, words_each, percent)))
 
 
 def grouped(members: DataFrame, labels: DataFrame) -> DataFrame:
