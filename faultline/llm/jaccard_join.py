@@ -5,7 +5,7 @@ sets that are alike enough share at least l shingles among each one's first n -
 l that makes its estimated cost least: longer prefixes put it into more lists, but every list entry counts for only
 one in l of the matches that a candidate needs.
 
-Equal sets are one class. A class's home is the longest list that it is in. In each home all classes are compared with
+Equal sets are one class. A class's home is the longest list that it is in, or the home of most classes of that list. In each home all classes are compared with
 the one whose lists are longest, the hub, so most of a group of thousands of near copies becomes one component without its
 pairs. What is left of a long home is compared with all of it in blocks of bounded size, where only links come out;
 all other pairs in different components that share enough prefix shingles are compared one by one. No list, pair or
@@ -249,7 +249,10 @@ def link(docs: DataFrame, words_each: int = 4, percent: int = 85) -> tuple[DataF
 
     lengths = lists.groupBy("token").agg(F.count("*").alias("n"))
     per_key = lists.join(lengths, "token").groupBy("key").agg(F.max(F.struct("n", F.col("token").alias("home"))).alias("best"), F.avg(F.log("n")).alias("weight"), F.first("size").alias("size"))
-    homes = materialize(per_key.select("key", "best.home", "weight", "size"), "homes")
+    homes = materialize(per_key.select("key", "best.home", "weight", "size"), "first-homes")
+    votes = lists.select("token", "key").join(homes.select("key", "home"), "key").groupBy("token", "home").agg(F.count("*").alias("n"))
+    moved = votes.groupBy("token").agg(F.max(F.struct("n", "home")).alias("most")).select(F.col("token").alias("home"), F.col("most.home").alias("to"))
+    homes = materialize(homes.join(moved, "home").select("key", F.col("to").alias("home"), "weight", "size"), "homes")
     hubs = homes.groupBy("home").agg(F.max(F.struct("weight", "key")).alias("top"), F.count("*").alias("n")).select("home", F.col("top.key").alias("hub"), "n")
     homes = homes.join(hubs, "home").select("key", "home", "hub", "size", "n")
     asking = lists.join(homes.where("key <> hub").select("key", "hub"), "key")
