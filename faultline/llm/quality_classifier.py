@@ -136,7 +136,8 @@ def fit(sample: DataFrame) -> Model:
     sums = np.zeros((FOLDS, width, width + 1))
     for r in parts.collect():  # FOLDS * (FEATURES + 1) rows
         sums[r["fold"], r["i"]] = np.sum(sorted(r["rows"]), axis=0)
-    solve = lambda m: np.linalg.solve(m[:, :width] + RIDGE * np.eye(width), m[:, width])
+    penalty = np.diag([*[RIDGE] * FEATURES, 1e-6])  # the constant is free: what no training row resembles gets the mean
+    solve = lambda m: np.linalg.solve(m[:, :width] + penalty, m[:, width])
     whole = sums.sum(0)
     weights, without = solve(whole), np.stack([solve(whole - sums[k]) for k in range(FOLDS)])
 

@@ -19,8 +19,9 @@ from faultline.llm.words import Words
 GRAM, BUCKETS = 4, 1 << 15
 #: Trusted documents that the target is made of: those with the smallest hashes of their keys.
 TARGET_ROWS = 20_000
-#: A document is kept at this mean log ratio or more: on the average n-gram at most e^0.2 times likelier raw than trusted.
-LEAST = -0.2
+#: A document is kept at this mean log ratio or more: on the average n-gram at most e^0.5 times likelier raw than trusted.
+#: A language that a small target holds little of costs up to 0.35; symbols, tables and capitals cost 0.8 and more.
+LEAST = -0.5
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 REPEAT = 8
