@@ -66,9 +66,10 @@ class Ledger:
 
 
 def matches(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, kind, kind_order, start, stop) of every match in `blobs` (blob, text), one row for each blob; in code points.
+    """(blob, kind, kind_order, start, stop) of every match in `blobs` (blob, text), in code points; rows of one blob count once.
 
-    A text is cut at the matches: the lengths of cuts and matches, added up, are the places.
+    A text is cut at the matches: the lengths of cuts and matches, added up, are the places. The outer explode keeps
+    the optimizer from running the patterns below the join that picks what is to be scanned.
     """
     kinds = [
         F.when(
@@ -77,8 +78,9 @@ def matches(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         )
         for k, r in enumerate(rules)
     ]
-    found = blobs.select("blob", F.explode(F.filter(F.array(*kinds), lambda x: x.isNotNull())).alias("k"))
-    each = found.select("blob", "k.kind", "k.kind_order", "k.least", F.posexplode(F.arrays_zip("k.gaps", "k.whole", "k.part")).alias("i", "m")).where(F.col("m.whole").isNotNull())
+    found = blobs.select("blob", F.explode_outer(F.array(*kinds)).alias("k")).where(F.col("k").isNotNull())
+    found = found.select("blob", F.col("k.kind").alias("kind"), "k").dropDuplicates(["blob", "kind"])
+    each = found.select("blob", "kind", "k.kind_order", "k.least", F.posexplode(F.arrays_zip("k.gaps", "k.whole", "k.part")).alias("i", "m")).where(F.col("m.whole").isNotNull())
     before = Window.partitionBy("blob", "kind").orderBy("i")
     stop = F.sum(F.col("m.gaps") + F.col("m.whole")).over(before)
     return each.select("blob", "kind", "kind_order", (stop - F.col("m.whole")).alias("start"), stop.alias("stop"), F.col("m.part").alias("part"), "least").where("part >= least").drop("part", "least")
@@ -93,10 +95,7 @@ def update(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, ver
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), address(F.col("text")).alias("blob"), F.col("doc_id"))
     rows = rows.select("text", "blob", F.xxhash64("doc_id", "blob").alias("key"))
     unseen = rows.groupBy("blob").agg(F.min("key").alias("key")).join(ledger.blobs().where(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
-    suspect = F.lit(False)
-    for r in rules:
-        suspect = suspect | F.col("text").rlike(r.pattern)
-    scanned = rows.join(unseen.hint("shuffle_hash"), ["key", "blob"]).where(suspect).groupBy("blob").agg(F.first("text").alias("text"))
+    scanned = rows.join(unseen.hint("shuffle_hash"), ["key", "blob"]).select("blob", "text")
     found = matches(scanned, rules).select("blob", F.lit(version).alias("rule_version"), "kind", "kind_order", "start", "stop")
     found.write.mode("append").parquet(f"{ledger.folder}/findings")
     unseen.select("blob", F.lit(version).alias("rule_version")).write.mode("append").parquet(f"{ledger.folder}/blobs")
