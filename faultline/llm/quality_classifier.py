@@ -129,13 +129,16 @@ def fit(sample: DataFrame) -> Model:
             for k in range(FOLDS):
                 own = z[fold == k]
                 total[k] += own.T @ np.column_stack([own, y[fold == k]])
-        for k in range(FOLDS):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(width, k, np.int32)), pa.array(np.arange(width, dtype=np.int32)), pa.array(list(total[k]), pa.list_(pa.float64()))], ["fold", "i", "row"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(FOLDS), pa.int32()), pa.array([m.tobytes() for m in total], pa.binary())], ["fold", "m"])
 
-    parts = dealt.mapInArrow(equations, "fold int, i int, row array<double>").groupBy("fold", "i").agg(F.collect_list("row").alias("rows"))  # FIT_TASKS rows each
+    def added(parts):
+        total = np.sum([np.frombuffer(m) for m in sorted(parts.column("m").to_pylist())], axis=0)  # FIT_TASKS of them
+        return pa.table({"fold": parts.column("fold")[:1], "m": pa.array([total.tobytes()], pa.binary())})
+
+    parts = dealt.mapInArrow(equations, "fold int, m binary").groupBy("fold").applyInArrow(added, "fold int, m binary")
     sums = np.zeros((FOLDS, width, width + 1))
-    for r in parts.collect():  # FOLDS * (FEATURES + 1) rows
-        sums[r["fold"], r["i"]] = np.sum(sorted(r["rows"]), axis=0)
+    for r in parts.collect():  # FOLDS rows
+        sums[r["fold"]] = np.frombuffer(r["m"]).reshape(width, width + 1)
     penalty = np.diag([*[RIDGE] * FEATURES, 1e-6])  # the constant is free: what no training row resembles gets the mean
     solve = lambda m: np.linalg.solve(m[:, :width] + penalty, m[:, width])
     whole = sums.sum(0)
