@@ -242,28 +242,28 @@ def quantile_reference(df, columns, points=101):
     return table.select("feature", F.round(F.col("prob") * (points - 1)).cast("int").alias("idx"), F.col("quantile").alias("value"))
 
 
-def quantile_rank(df, columns, table, points=101):
-    """qrank_X: place of X in its quantile table, interpolated onto [0.01, 0.99]; 0.5 without a table.
+def quantile_rank(df, columns, table):
+    """qrank_X: place of X in its quantile table, interpolated onto [0.01, 0.99]; 0.5 without a table or a value.
 
-    The table has `points` rows per feature, so per feature it becomes one array
+    A table may have any number of knots, evenly spaced in rank. Per feature it becomes one array
     on a one-row side that is broadcast, and each row searches it in place.
     """
     arrays = table.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("rows"))
     lookup = arrays.agg(F.map_from_entries(F.collect_list(F.struct("feature", "rows.value"))).alias("_tables"))
     with_table = df.withColumn("_tables", lookup.scalar())
-    step = 0.98 / (points - 1)
 
     def place(c):
         xs = F.try_element_at(F.col("_tables"), F.lit(c))
+        step = 0.98 / F.greatest(F.size(xs) - 1, F.lit(1))
         x = F.col(c).cast("double")
         # last knot at or below x (1-based); knots are sorted, so counting them finds it
         i = F.size(F.filter(xs, lambda k: k <= x))
         left, right = F.get(xs, i - 1), F.get(xs, i)
         inside = 0.01 + step * (i - 1) + step * (x - left) / (right - left)
         return (
-            F.when(xs.isNull(), 0.5)
+            F.when(xs.isNull() | x.isNull(), 0.5)
             .when(i == 0, 0.01)
-            .when(i >= points, 0.99)
+            .when(i >= F.size(xs), 0.99)
             .otherwise(inside)
         )
 

@@ -7,7 +7,6 @@ from faultline.operators import modelling as op
 from faultline.operators import source_metrics
 from faultline.operators.commits import score_commits
 from faultline.operators.history import future_label
-from faultline.operators.snapshots import cap_size
 from faultline.plans.evaluation import rounded
 from faultline.plans.folds import units
 from faultline.plans.registry import query, query_on_dir
@@ -140,7 +139,7 @@ def permutation_importance(sn):
 @query("score_batch", "SRC FC")
 def score_batch(src, fc):
     """Sources to metrics, heuristic risk and a model trained on labelled snapshots of the history."""
-    metrics = source_metrics.smell_flags(source_metrics.code_metrics(cap_size(src)), "python")
+    metrics = source_metrics.smell_flags(source_metrics.code_metrics(src), "python")
     labelled = future_label(score_commits(fc), fc.select("repo", "file_path", "commit_id", "commit_date", "lines"))
     rows = materialize(labelled.select(F.col("lines").alias("loc"), F.col("label").alias("future_bug_fix")), "train")
     fitted = op.train(rows, ["loc"], "logistic_regression", maxIter=5)

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from faultline.functions import languages as lang
 from faultline.operators import reporting, scoring
 from faultline.operators import source_metrics as op
-from faultline.operators.snapshots import cap_size
 from faultline.plans.check_text import lit
 from faultline.plans.evaluation import rounded
 from faultline.plans.registry import query
@@ -21,13 +20,9 @@ st AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY repo,
 cl AS (SELECT *, CASE WHEN blank THEN 'blank' WHEN inside OR contains(line, '/*') THEN 'block' WHEN single THEN 'single' ELSE 'code' END AS kind FROM st)"""
 
 
-def sized(src):
-    return cap_size(src)
-
-
 @query("line_table", "SRC", f"WITH {LINES} SELECT repo, file_path, line_no, line FROM ln")
 def line_table(src):
-    return op.line_table(sized(src))
+    return op.line_table(src)
 
 
 @query(
@@ -36,7 +31,7 @@ def line_table(src):
 SELECT *, loc - comment_lines - blank_lines AS sloc, comment_lines / loc AS comment_density FROM c""",
 )
 def line_counts(src):
-    return op.line_counts(sized(src))
+    return op.line_counts(src)
 
 
 @query(
@@ -45,7 +40,7 @@ def line_counts(src):
 SELECT *, loc - comment_lines - blank_lines AS sloc, round(comment_lines / loc, 3) AS comment_density FROM c""",
 )
 def block_comment_lines(src):
-    return op.comment_profile(sized(src)).select("repo", "file_path", "loc", "blank_lines", "comment_lines", "sloc", "comment_density")
+    return op.comment_profile(src).select("repo", "file_path", "loc", "blank_lines", "comment_lines", "sloc", "comment_density")
 
 
 @query(
@@ -55,7 +50,7 @@ s AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY repo,
 SELECT repo, file_path, count(*) FILTER (inside OR starts_with(trim(line), '//') OR contains(line, '/*'))::INT AS comment_lines FROM s GROUP BY 1, 2""",
 )
 def java_comment_lines(src):
-    return sized(src).where("file_path LIKE '%.java'").select("repo", "file_path", op.java_comment_lines(op.lines_of(F.col("source"))).alias("comment_lines"))
+    return src.where("file_path LIKE '%.java'").select("repo", "file_path", op.java_comment_lines(op.lines_of(F.col("source"))).alias("comment_lines"))
 
 
 @query(
@@ -63,7 +58,7 @@ def java_comment_lines(src):
     f"WITH {STATE} SELECT repo, file_path, count(*) FILTER (kind IN ('single', 'code') AND regexp_matches(line, 'TODO|FIXME|HACK'))::INT AS todo_count FROM cl GROUP BY 1, 2",
 )
 def todo_count(src):
-    return op.comment_profile(sized(src)).select("repo", "file_path", "todo_count")
+    return op.comment_profile(src).select("repo", "file_path", "todo_count")
 
 
 BALANCE = """b AS (SELECT *, sum((length(line) - length(replace(line, '{', ''))) - (length(line) - length(replace(line, '}', '')))) OVER w AS s FROM ln WINDOW w AS (PARTITION BY repo, file_path ORDER BY line_no)),
@@ -75,7 +70,7 @@ d AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY repo, file_path ORDER BY
     f"WITH {LINES}, {BALANCE} SELECT repo, file_path, max(depth)::INT AS brace_depth, greatest(0, max(depth) - 1)::INT AS java_depth FROM d GROUP BY 1, 2",
 )
 def brace_nesting(src):
-    return sized(src).select(
+    return src.select(
         "repo", "file_path", op.brace_depth(op.lines_of(F.col("source"))).alias("brace_depth"), op.java_nesting(F.col("source")).alias("java_depth")
     )
 
@@ -85,7 +80,7 @@ def brace_nesting(src):
     f"""WITH {LINES} SELECT repo, file_path, coalesce(max((length(line) - length(ltrim(line))) // 4) FILTER (trim(line) <> '' AND NOT contains(line, '{{') AND NOT contains(line, '}}')), 0)::INT AS indent_depth FROM ln GROUP BY 1, 2""",
 )
 def indent_nesting(src):
-    return sized(src).select("repo", "file_path", op.indent_depth(op.lines_of(F.col("source"))).alias("indent_depth"))
+    return src.select("repo", "file_path", op.indent_depth(op.lines_of(F.col("source"))).alias("indent_depth"))
 
 
 def _branch_sql():
@@ -98,7 +93,7 @@ def _branch_sql():
 
 @query("branch_complexity", "SRC", _branch_sql())
 def branch_complexity(src):
-    return op.comment_profile(sized(src)).select("repo", "file_path", "cyclomatic_complexity")
+    return op.comment_profile(src).select("repo", "file_path", "cyclomatic_complexity")
 
 
 # The given sources declare few functions, so declarations are put in front of the whole text.
@@ -113,7 +108,7 @@ def declared(src):
     front = F.lit("")
     for ext, text in DECLS.items():
         front = F.when(F.col("file_path").endswith(ext), F.lit(text)).otherwise(front)
-    return sized(src).withColumn("source", F.concat(front, "source"))
+    return src.withColumn("source", F.concat(front, "source"))
 
 
 def _declared_sql():
@@ -141,7 +136,7 @@ k AS (SELECT repo, file_path, round((count(*) FILTER (trim(line) <> '' AND NOT s
 SELECT repo, file_path, size AS avg_function_size, floor(size * 1.6::DOUBLE)::INT AS max_function_size FROM k""",
 )
 def function_sizes(src):
-    profile = op.function_profile(op.comment_profile(sized(src).where("file_path LIKE '%.py'")))
+    profile = op.function_profile(op.comment_profile(src.where("file_path LIKE '%.py'")))
     return profile.select("repo", "file_path", "avg_function_size", "max_function_size")
 
 
@@ -168,7 +163,7 @@ def function_spans(src):
 FROM (SELECT *, regexp_extract(file_path, '\\.[a-z]+$') AS ext FROM src_sources)""",
 )
 def class_import_counts(src):
-    return op.declarations(sized(src))
+    return op.declarations(src)
 
 
 CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(source, '(?s)/\*.*?\*/', ' ', 'g'), '//[^\n]*', '', 'g'), '"(?:[^"\\]|\\.)*"', '""', 'g')"""
@@ -184,7 +179,7 @@ hv AS (SELECT repo, file_path, source, CASE WHEN b > 0 AND a + b > 1 THEN (na +
     f"""WITH {HALSTEAD} SELECT repo, file_path, round(v, 3) AS halstead_volume, round(d, 3) AS halstead_difficulty, round(v * d, 3) AS halstead_effort, round(v / 3000, 6) AS halstead_bugs FROM hv""",
 )
 def halstead(src):
-    return op.with_halstead(sized(src)).drop("source")
+    return op.with_halstead(src).drop("source")
 
 
 @query(
@@ -194,7 +189,7 @@ SELECT repo, file_path, round(greatest(0, (171 - 5.2::DOUBLE * ln(greatest(round
 FROM hv JOIN l USING (repo, file_path)""",
 )
 def maintainability_index(src):
-    volume = op.with_halstead(sized(src))
+    volume = op.with_halstead(src)
     cc = F.regexp_count("source", F.lit(r"\bif\b")) + 1
     return volume.select(
         "repo", "file_path", op.maintainability_index(F.col("halstead_volume"), cc, F.size(op.lines_of(F.col("source")))).alias("maintainability_index")
@@ -213,13 +208,13 @@ q AS (SELECT *, coalesce(lag(after) OVER (PARTITION BY repo, file_path ORDER BY
 SELECT repo, file_path, sum(CASE WHEN hits > 0 THEN hits + depth ELSE 0 END + jumps)::INT AS cognitive_complexity FROM q GROUP BY 1, 2""",
 )
 def cognitive_complexity(src):
-    return sized(src).select("repo", "file_path", op.cognitive_complexity(F.col("source")).alias("cognitive_complexity"))
+    return src.select("repo", "file_path", op.cognitive_complexity(F.col("source")).alias("cognitive_complexity"))
 
 
 @query("code_metrics", "SRC")
 def code_metrics(src):
     """All metric columns at once; its parts have check SQL under their own keys."""
-    return op.code_metrics(sized(src)).drop("source", "function_sizes", "class_sizes", "param_counts")
+    return op.code_metrics(src).drop("source", "function_sizes", "class_sizes", "param_counts")
 
 
 # Metric columns from snapshot arithmetic, so that every rule set meets all its smells.
