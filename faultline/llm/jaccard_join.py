@@ -193,15 +193,38 @@ def _named(rows: DataFrame, name: str) -> DataFrame:
     return rows.select("token", *(F.col(c).alias(name if c == "key" else f"{name}_{c}") for c in rows.columns if c != "token"))
 
 
+def joining(rows: np.ndarray, columns: np.ndarray, alike: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of `alike` that join what its true places join: fewer than there are nodes. `rows` and `columns` are their nodes."""
+    parent = list(range(int(max(rows.max(initial=-1), columns.max(initial=-1))) + 1))
+
+    def root(k):
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    out = []
+    for x, node in enumerate(rows.tolist()):
+        found = np.flatnonzero(alike[x])
+        for y, other in zip(found.tolist(), columns[found].tolist()):
+            u, v = root(node), root(other)
+            if u != v:
+                parent[v] = u
+                out.append((x, y))
+    at = np.array(out, np.int64).reshape(-1, 2)
+    return at[:, 0], at[:, 1]
+
+
 def home_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between different labels in each home. `rows` (home, key, size, label, n, in_largest) are all classes of
-    homes of n. Those outside the home's largest label are compared with all, a block of either at a time; of a
-    class's links to one label in a block, one comes out."""
+    """(a, b): links that join the labels of each home. `rows` (home, key, size, label, n, in_largest) are all classes of
+    homes of n. Those outside the home's largest label are compared with all, a block of either at a time, two
+    blocks of such classes once; of a block's links those come out that join labels not yet joined in it, fewer than it has classes."""
     parts = F.ceil(F.col("n") / SIDE).cast("int")
     share = F.pmod(F.xxhash64("key"), parts).cast("int")
     every = F.explode(F.sequence(F.lit(0), parts - 1))
     left = rows.where("not in_largest").select("home", share.alias("i"), every.alias("j"), F.lit(True).alias("asks"), "key", "size", "label")
-    right = rows.select("home", every.alias("i"), share.alias("j"), F.lit(False).alias("asks"), "key", "size", "label")
+    after = F.explode(F.sequence(F.when(F.col("in_largest"), 0).otherwise(share), parts - 1))
+    right = rows.select("home", after.alias("i"), share.alias("j"), F.lit(False).alias("asks"), "key", "size", "label")
     asked = left.select("home", "i").distinct()
     blocks = left.unionByName(right.join(asked, ["home", "i"], "left_semi")).join(sets, "key")
 
@@ -227,9 +250,9 @@ def home_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 sides.append(m)
             both += sides[0] @ sides[1].T
         alike = (100 * both >= percent * (size[a][:, None] + size[b][None, :] - both)) & (label[a][:, None] != label[b][None, :])
-        x, y = np.nonzero(alike)
-        _, one = np.unique(np.column_stack([x, label[b][y]]), axis=0, return_index=True) if len(x) else (None, np.zeros(0, np.int64))
-        return pa.table({"a": key[a][x[one]], "b": key[b][y[one]]})
+        _, node = np.unique(label, return_inverse=True)
+        x, y = joining(node[a], node[b], alike)
+        return pa.table({"a": key[a][x], "b": key[b][y]})
 
     return blocks.groupBy("home", "i", "j").applyInArrow(compare, "a long, b long")
 
