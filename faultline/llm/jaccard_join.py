@@ -193,6 +193,14 @@ def _named(rows: DataFrame, name: str) -> DataFrame:
     return rows.select("token", *(F.col(c).alias(name if c == "key" else f"{name}_{c}") for c in rows.columns if c != "token"))
 
 
+def turned(met: DataFrame) -> DataFrame:
+    """`met` with the smaller key as `a`: which of two sets asks may differ by token, and each pair is counted whole."""
+    swap = F.col("a") > F.col("b")
+    sides = lambda c: (F.col(f"a{c}"), F.col(f"b{c}"))
+    columns = [f(*sides(c)).alias(f"{x}{c}") for c in ("", "_size", "_matches", "_place") for x, f in (("a", lambda u, v: F.when(swap, v).otherwise(u)), ("b", lambda u, v: F.when(swap, u).otherwise(v)))]
+    return met.select(*columns)
+
+
 def joining(rows: np.ndarray, columns: np.ndarray, alike: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of `alike` that join what its true places join: fewer than there are nodes. `rows` and `columns` are their nodes."""
     parent = list(range(int(max(rows.max(initial=-1), columns.max(initial=-1))) + 1))
@@ -300,7 +308,7 @@ def link(docs: DataFrame, words_each: int = 4, percent: int = 85) -> tuple[DataF
     entered = materialize(entered, "open-lists")
     met = _named(entered.where("not in_largest"), "a").join(_named(entered, "b"), "token")
     met = met.where("a_label <> b_label and (b_in_largest or a < b) and not coalesce(a_home = b_home, false)").where(100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size"))
-    second = materialize(shared_enough(met, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    second = materialize(shared_enough(turned(met), percent), "candidates")
     return described.select("doc_id", "size", "key"), components(links.unionByName(verified(docs, second, words_each, percent)))
 
 

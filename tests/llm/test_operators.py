@@ -134,6 +134,20 @@ def test_jaccard_join(spark, docs, monkeypatch, long):
     assert sorted(map(tuple, got.collect()), key=str) == components_by_hand(rows)
 
 
+def test_jaccard_join_chains(spark):
+    """Chains in which a set is like its neighbours alone: which of two sets asks differs from shingle to shingle."""
+    rng, rows = random.Random(11), []
+    for chain in range(150):
+        n, words = rng.randint(23, 43), [f"c{chain}w{i}" for i in range(80)]
+        starts = np.cumsum([rng.choice([0, 1, 1, 2, 2, 3]) for _ in range(rng.randint(2, 7))]).tolist()
+        rows += [(0, " ".join(words[s : s + n])) for s in starts]
+    rng.shuffle(rows)
+    rows = [(i, text) for i, (_, text) in enumerate(rows)]
+    got = jaccard_join.grouped(*jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string")))
+    want, found = components_by_hand(rows), sorted(map(tuple, got.collect()), key=str)
+    assert jaccard_join.LONG == 32 and sum(a != b for a, b in zip(found, want)) == 0
+
+
 def test_jaccard_keeps_one_and_empty(spark):
     kept = jaccard_join.keep_one(awkward(spark))
     assert kept.columns == awkward(spark).columns
