@@ -2,8 +2,8 @@
 
 Both corpora are multinomials over hashed n-grams (runs of GRAM bytes of UTF-8, BUCKETS buckets). A document's
 score is the mean, over its n-grams, of log p(target) - log p(raw); every document is compared with one fixed threshold.
-The raw counts are of all documents. The target counts are of a sample of trusted documents, bounded so that their
-keys can go to every task; being parameters of the model, both are the same in every run.
+The raw counts are of all documents, the target counts of all trusted ones. Which documents are trusted is joined by key as
+Spark sees fit: few keys are sent to all tasks, many are shuffled with the documents.
 """
 
 from __future__ import annotations
@@ -17,10 +17,9 @@ from faultline.llm.common import chunks, texts_of, utf8
 from faultline.llm.words import Words
 
 GRAM, BUCKETS = 4, 1 << 15
-#: Trusted documents that the target is made of: those with the smallest hashes of their keys.
-TARGET_ROWS = 20_000
 #: A document is kept at this mean log ratio or more: on the average n-gram at most e^0.5 times likelier raw than trusted.
-#: A language that a small target holds little of costs up to 0.35; symbols, tables and capitals cost 0.8 and more.
+#: A language that a small target holds little of costs up to 0.35; symbols, tables and capitals cost 0.8 and more. On a whole
+#: target of 88,145 documents -0.2 and -0.5 part alike: 6,952 and 6,941 of 7,081 bad ones go, and none of 85,070 good ones.
 LEAST = -0.5
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -82,15 +81,14 @@ def _space(data: np.ndarray) -> np.ndarray:
     return (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
 
 
-def trusted_keys(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
-    """The keys of at most `rows` documents labelled good."""
-    keys = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return keys.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+def trusted_keys(labels: DataFrame) -> DataFrame:
+    """The keys of all documents labelled good."""
+    return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
 def count_grams(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """(bucket, raw, target): n-gram counts of all documents and of the trusted ones; each task adds up its own first."""
-    marked = texts_of(docs).join(F.broadcast(trusted.select("doc_id", F.lit(True).alias("trusted"))), "doc_id", "left")
+    marked = texts_of(docs).join(trusted.select("doc_id", F.lit(True).alias("trusted")), "doc_id", "left")
 
     def run(batches):
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)

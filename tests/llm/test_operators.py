@@ -97,6 +97,14 @@ def test_rules(spark, docs):
     assert not quality_rules.ratios(docs, quality_rules.trusted_keys(labels.limit(0))).any()
 
 
+def test_rules_count_every_trusted_document(spark):
+    n = 20_500
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("abcd").alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    counts = quality_rules.count_grams(docs, quality_rules.trusted_keys(labels.unionByName(labels)))
+    assert [(r.raw, r.target) for r in counts.where("raw > 0").collect()] == [(n, n)]
+
+
 def components_by_hand(rows, percent=85, n=4):
     lower = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
     sets = []
