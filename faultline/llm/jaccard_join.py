@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.llm.common import chunks, materialize, spans_to_flat, texts_of, utf8
@@ -66,9 +66,14 @@ def required(size: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * size // 100)
 
 
+def digest() -> Column:
+    """Tells the texts of one doc_id apart; null counts as empty."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def describe(docs: DataFrame, words_each: int, percent: int) -> DataFrame:
-    """(doc_id, size, key, heads): each row's set size and class key (null for an empty set), and the high halves of the
-    shingles that come first by hash."""
+    """(doc_id, digest, size, key, heads): each row's hash of its text, set size and class key (null for an empty set), and the
+    high halves of the shingles that come first by hash."""
 
     def run(batches):
         for batch in batches:
@@ -80,9 +85,9 @@ def describe(docs: DataFrame, words_each: int, percent: int) -> DataFrame:
                 many = s.size - required(s.size, percent) + (s.size > 0)
                 high = (s.tokens >> U(32)).astype("<u4")
                 heads += [high[x : x + k].tobytes() for x, k in zip(s.first.tolist(), many.tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(size or [np.zeros(0, np.int64)])), pa.array(key, pa.int64()), pa.array(heads, pa.binary())], ["doc_id", "size", "key", "heads"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(np.concatenate(size or [np.zeros(0, np.int64)])), pa.array(key, pa.int64()), pa.array(heads, pa.binary())], ["doc_id", "digest", "size", "key", "heads"])
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, size long, key long, heads binary")
+    return texts_of(docs).withColumn("digest", digest()).mapInArrow(run, "doc_id long, digest long, size long, key long, heads binary")
 
 
 def common_shingles(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -266,7 +271,7 @@ def home_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def link(docs: DataFrame, words_each: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
-    """(members, labels). `members` (doc_id, size, key) has each row of `docs`; `labels` (key, label) the component of each class that
+    """(members, labels). `members` (doc_id, digest, size, key) has each row of `docs`; `labels` (key, label) the component of each class that
     has a link. Links join two sets where 100 * intersection >= percent * union.
 
     Words are runs of anything but space and 0x09 to 0x0D, with A-Z lower-cased. A text of fewer words than a
@@ -309,7 +314,7 @@ def link(docs: DataFrame, words_each: int = 4, percent: int = 85) -> tuple[DataF
     met = _named(entered.where("not in_largest"), "a").join(_named(entered, "b"), "token")
     met = met.where("a_label <> b_label and (b_in_largest or a < b) and not coalesce(a_home = b_home, false)").where(100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size"))
     second = materialize(shared_enough(turned(met), percent), "candidates")
-    return described.select("doc_id", "size", "key"), components(links.unionByName(verified(docs, second, words_each, percent)))
+    return described.select("doc_id", "digest", "size", "key"), components(links.unionByName(verified(docs, second, words_each, percent)))
 
 
 def grouped(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -320,11 +325,15 @@ def grouped(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words_each: int = 4, percent: int = 85) -> DataFrame:
-    """`docs`, all columns, with one document of each component: the one with the smallest doc_id. Of rows that repeat doc_id and
+    """`docs`, all columns, with one document of each component: the one with the smallest doc_id, and of texts that repeat it
+    the one with the smallest hash. A doc_id with two texts is two documents. Of rows that repeat doc_id and
     text one stays. A row without doc_id cannot be named as the one to go, so it stays; so does one without shingles."""
     members, labels = link(docs, words_each, percent)
-    gone = grouped(members, labels).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    placed = members.where("doc_id is not null and key is not null").join(labels, "key", "left").select("doc_id", "digest", F.coalesce("label", "key").alias("label"))
+    placed = materialize(placed, "documents")
+    first = placed.groupBy("label").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+    gone = placed.join(first, "label").where(F.struct("doc_id", "digest") != F.col("first")).select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_digest")).distinct()
+    kept = docs.join(gone, (docs["doc_id"] == gone["_gone"]) & (digest() == gone["_digest"]), "left_anti")
     repeated = members.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id").distinct()
     if repeated.isEmpty():
         return kept

@@ -163,6 +163,16 @@ def test_jaccard_keeps_one_and_empty(spark):
     assert jaccard_join.grouped(*jaccard_join.link(awkward(spark, []))).count() == 0
 
 
+def test_jaccard_keeps_one_of_each_text(spark):
+    words = [f"w{i}" for i in range(60)]
+    like, other, apart = " ".join(words), " ".join([*words[:-1], "x"]), " ".join(f"v{i}" for i in range(60))
+    rows = [(3, like), (5, other), (5, apart), (7, apart + " y"), (8, "ä " + like), (8, like.upper()), (9, "a b c"), (9, "A B C"), (None, like)]
+    kept = sorted(((r.doc_id, r.text) for r in jaccard_join.keep_one(awkward(spark, rows)).collect()), key=str)
+    nine = [r for r in kept if r[0] == 9]
+    assert len(nine) == 1 and nine[0][1].lower() == "a b c"
+    assert [r for r in kept if r[0] != 9] == [(3, like), (5, apart), (None, like)]
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "### User: hi </turn>"), (1, 1, "assistant", "\\h\\\\e ###### \\"), (2, 0, "assistant", None), (2, 0, None, "x: y"), (3, 1, "a: b", ""), (3, 1, "a: b", ""), (None, 0, "user", "q")]
     frame = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, segments string")
