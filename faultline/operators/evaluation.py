@@ -301,14 +301,13 @@ def _poisson_draws(replicates, seed):
     return draw
 
 
-def bootstrap_ci(df, y="y", p="p", replicates=2000, confidence=0.95, method="bca", seed=42, jackknife=200):
+def bootstrap_ci(df, y="y", p="p", replicates=2000, confidence=0.95, method="bca", seed=42):
     """Bootstrap interval of the average precision, one row.
 
     Resampling counts are Poisson per row; rows with equal score and label have
     equal effect, so one Poisson draw with their count as mean replaces them. The
     replicates multiply distinct scores, not rows. Replicates without both classes
-    are dropped. The acceleration of `bca` leaves out each of the first rows by
-    hash order, at most `jackknife` of them.
+    are dropped. The acceleration of `bca` leaves out each row in turn.
     """
     points = score_points(df, [], y, p)
     draw = _poisson_draws(replicates, seed)
@@ -334,7 +333,7 @@ def bootstrap_ci(df, y="y", p="p", replicates=2000, confidence=0.95, method="bca
         used = "bca"
         normal = statistics.NormalDist()
         below = min(max(base["below"], 1e-9), 1 - 1e-9)
-        z0, a = normal.inv_cdf(below), _acceleration(df, points, y, p, jackknife)
+        z0, a = normal.inv_cdf(below), _acceleration(points)
         probs = []
         for z in (normal.inv_cdf(tail), normal.inv_cdf(1 - tail)):
             probs.append(normal.cdf(z0 + (z0 + z) / (1 - a * (z0 + z))))
@@ -345,28 +344,31 @@ def bootstrap_ci(df, y="y", p="p", replicates=2000, confidence=0.95, method="bca
     )
 
 
-def _acceleration(df, points, y, p, rows):
-    """BCa acceleration from leaving out single rows; rows with equal score and label share one result."""
-    left_out = (
-        df.select(F.col(y).cast("long").alias("y"), F.col(p).cast("double").alias("p"))
-        .withColumn("_h", F.md5(F.concat_ws("|", "y", "p")))
-        .orderBy("_h").limit(rows)
-        .groupBy("y", "p").agg(F.count(F.lit(1)).alias("w"))
-    )
-    ids = left_out.withColumn("id", F.concat_ws("|", "y", "p"))
-    # at most `rows` left-out cases, each with its own copy of the score points less one row
-    cases = ids.agg(F.collect_list(F.struct("id", F.col("y").alias("oy"), F.col("p").alias("op"), "w")).alias("cases"))
-    spread = points.withColumn("_cases", cases.scalar()).select("p", "pos", "n", F.explode("_cases").alias("c"))
-    same = F.col("p") == F.col("c.op")
-    reduced = spread.select(
-        F.col("c.id").alias("id"), F.col("c.w").alias("w"), "p",
-        (F.col("pos") - F.when(same, F.col("c.oy")).otherwise(0)).alias("pos"), (F.col("n") - same.cast("long")).alias("n"),
-    ).where("n > 0")
-    jack = ranked_points(reduced, ["id", "w"]).groupBy("id", "w").agg(_precision_area().alias("ap"))
-    mean = jack.agg((F.sum(F.col("ap") * F.col("w")) / F.sum("w")).alias("m")).scalar()
-    d = F.col("m") - F.col("ap")
-    moments = jack.withColumn("m", mean).agg(
-        F.sum(d * d * d * F.col("w")).alias("cubes"), F.sum(d * d * F.col("w")).alias("squares")
+def left_out(points):
+    """What leaving out one row changes in the average precision: rows (w, change), one for the negatives and one for the
+    positives of each distinct score, `w` of them. From running sums of each point's own loss, so small changes stay exact."""
+    pos, tp, n = F.col("pos"), F.col("tp_before") + F.col("pos"), F.col("n_before") + F.col("n")
+    share = lambda x: F.when(n > 1, x / (n * (n - 1.0))).otherwise(0.0)
+    terms = {"_area": pos * tp / n, "_gain": share(pos * tp), "_loss": share(pos * (n - tp))}
+    placed = ranked_points(points, []).withColumns(terms).withColumn("_down", -F.col("p"))
+    placed = running(placed, [], [value_level(F.col("_down"))], ["_down"], {f"{c}_before": ("sum", c) for c in ("_gain", "_loss")})
+    sums = placed.agg(F.struct(*(F.sum(c).alias(c) for c in terms))).scalar()
+    placed = placed.withColumn("_all", sums)
+    positives, area = F.col("positives"), F.col("_all._area")
+    fewer = (F.col("_all._gain") - F.col("_gain_before")) / positives
+    own = F.when(n > 1, (pos - 1) * (tp - 1) / (n - 1)).otherwise(0.0) - F.col("_area")
+    later = F.col("_all._loss") - F.col("_loss_before") - F.col("_loss")
+    less = F.when(positives > 1, area / (positives * (positives - 1.0)) + (own - later) / (positives - 1)).otherwise(-area / positives)
+    cases = F.array(F.struct((F.col("n") - pos).alias("w"), fewer.alias("change")), F.struct(pos.alias("w"), less.alias("change")))
+    return placed.select(F.inline(cases)).where("w > 0")
+
+
+def _acceleration(points):
+    """BCa acceleration from leaving out each row; rows with equal score and label share one result."""
+    changes = left_out(points)
+    d = changes.agg((F.sum(F.col("change") * F.col("w")) / F.sum("w")).alias("m")).scalar() - F.col("change")
+    moments = changes.select("w", d.alias("d")).agg(
+        F.sum(F.col("d") * F.col("d") * F.col("d") * F.col("w")).alias("cubes"), F.sum(F.col("d") * F.col("d") * F.col("w")).alias("squares")
     ).first()
     return moments["cubes"] / (6 * moments["squares"] ** 1.5) if moments["squares"] else 0.0
 

@@ -70,6 +70,26 @@ def test_bootstrap_brackets_the_estimate(spark):
         assert all(abs(a[c] - b[c]) < 1e-9 for c in ("lower", "upper", "std_error", "n_bootstrap"))
 
 
+def test_acceleration_leaves_out_every_row(spark):
+    """Against the average precision of the rows that remain; 300 rows are of one case, which says nothing alone."""
+    rng = np.random.default_rng(4)
+    rows = [(int(rng.random() < 0.3 + q / 20), q / 10) for q in rng.integers(0, 11, 60).tolist()] + [(0, 0.3)] * 300
+
+    def area(rest):
+        out, positives = 0.0, sum(y for y, _ in rest)
+        for q in {q for _, q in rest}:
+            above = [y for y, r in rest if r >= q]
+            out += sum(y for y, r in rest if r == q) / positives * sum(above) / len(above)
+        return out
+
+    for some in (rows, rows[:60], [(1, 0.9), (0, 0.8), (1, 0.5), (0, 0.1)], [(0, 0.9), (1, 0.2), (1, 0.2)]):
+        values = np.array([area(some[:i] + some[i + 1 :]) for i in range(len(some))])
+        d = values.mean() - values
+        want = (d**3).sum() / (6 * (d**2).sum() ** 1.5)
+        points = evaluation.score_points(spark.createDataFrame(some, "y int, p double"), [])
+        assert want != 0 and abs(evaluation._acceleration(points) - want) < 1e-9
+
+
 def test_vif_of_a_known_matrix(spark):
     rng = np.random.default_rng(1)
     a, b = rng.normal(size=300), rng.normal(size=300)
