@@ -18,8 +18,6 @@ from faultline.session import materialize
 ANCHORS = "the of and is to der die das und ist le la les de et el los las y que".split()
 #: Content words in a chain, and anchors that a chain may skip before each.
 CHAIN, SKIPPED = 2, 8
-#: Texts where fewer than one word in so many has a spot are marked by their words too.
-SPARSE = 12
 _LETTER, _GAP = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]+"
 _ANCHOR = rf"(?:{'|'.join(ANCHORS)})(?!{_LETTER})"
 _SKIP = rf"(?:{_GAP}{_ANCHOR}){{0,{SKIPPED}}}+{_GAP}"
@@ -27,14 +25,12 @@ SPOT = rf"(?<!{_LETTER})(?=({_ANCHOR}(?:{_SKIP}{_LETTER}++){{{CHAIN}}}))"
 
 
 def signatures(text: Column) -> Column:
-    """The sorted set of a text's signatures. Where spots are sparse, its distinct words are among them, so that lists, tables
-    and short notes have a fingerprint as well; a text without words has no signatures."""
+    """The sorted set of a text's signatures: its spots and its distinct words, in every text alike. So lists, tables and
+    short notes have a fingerprint as well, and no edit changes of what kind it is; a text without words has no signatures."""
     small = F.lower(text)
     spots = F.transform(F.regexp_extract_all(small, F.lit(SPOT), F.lit(1)), lambda s: F.hash(F.regexp_replace(s, _SKIP, " ")))
     words = F.filter(F.split(small, _GAP), lambda w: w != "")
-    made = F.struct(spots.alias("spots"), words.alias("words"))
-    sparse = lambda m: F.concat(m["spots"], F.transform(m["words"], lambda w: F.hash(w)))
-    return F.array_sort(F.array_distinct(F.transform(F.array(made), lambda m: F.when(F.size(m["spots"]) * SPARSE >= F.size(m["words"]), m["spots"]).otherwise(sparse(m)))[0]))
+    return F.array_sort(F.array_distinct(F.concat(spots, F.transform(words, lambda w: F.hash(w)))))
 
 
 def fingerprint(marks: Column) -> Column:

@@ -259,6 +259,13 @@ def test_fingerprints(spark, docs):
     assert {(r.a, r.b) for r in pairs.collect()} == want
 
 
+def test_fingerprints_of_near_copies_are_of_one_kind(spark):
+    words = [w for k in range(5) for w in ["the", *(f"w{k}n{i}" for i in range(11))]]  # a spot for every 12 words
+    one, other = " ".join(words), " ".join([*words[:48], "this", *words[49:]])
+    _, pairs = spots.near_pairs(spark.createDataFrame([(1, one), (2, other)], "doc_id long, text string"), 0.8)
+    assert [r.near for r in pairs.collect()] == [pytest.approx(60 / 62)]
+
+
 def test_licenses(spark):
     known = licenses.known_digests(spark)
     mit = licenses.KNOWN["MIT"]
