@@ -32,8 +32,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that near-duplicate links join."""
-    return jaccard_join.keep_one(docs)
+    """One document of each group that near-duplicate links join: five words a shingle, 80 % alike."""
+    return jaccard_join.keep_one(docs, words_each=5, percent=80)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

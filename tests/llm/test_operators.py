@@ -173,6 +173,14 @@ def test_jaccard_keeps_one_of_each_text(spark):
     assert [r for r in kept if r[0] != 9] == [(3, like), (5, apart), (None, like)]
 
 
+def test_pipeline_drops_near_copies_of_five_words(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:40], *"abcdef", *words[46:]]))]  # 86 of 106 shingles of five words
+    assert [r.doc_id for r in corpus_pipeline.deduplicate(spark, awkward(spark, rows), SF).collect()] == [1]
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "### User: hi </turn>"), (1, 1, "assistant", "\\h\\\\e ###### \\"), (2, 0, "assistant", None), (2, 0, None, "x: y"), (3, 1, "a: b", ""), (3, 1, "a: b", ""), (None, 0, "user", "q")]
     frame = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, segments string")
