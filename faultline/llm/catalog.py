@@ -202,3 +202,19 @@ def op2(spark, sf_dir):
     from faultline.llm import jaccard_join as j
 
     return j.grouped(*j.link(table(spark, sf_dir, "documents"), words_each=4, percent=85))
+
+
+@query("op13_periodic_runs")
+def op13(spark, sf_dir):
+    """Every document's periodic runs of words, one document in ten with a repeating tail, as counts and digests."""
+    from faultline.llm import periodic_runs
+
+    found = periodic_runs.find(periodic_runs.repeat_tails(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    named = found.withColumn("best", best).withColumn("lines", F.array_join(lines, ""))
+    return named.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"), F.floor(1000 * F.col("best.length") / -F.col("best.period")).alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
