@@ -218,3 +218,59 @@ def op13(spark, sf_dir):
         (-F.col("best.period")).alias("period"), F.floor(1000 * F.col("best.length") / -F.col("best.period")).alias("exponent_milli"),
         F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS place, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), items AS (
+  SELECT item_id, text, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+  FROM (SELECT DISTINCT item_id, text FROM benchmark)
+), totals AS (
+  SELECT count(*) AS n, CAST(sum(len(terms)) AS BIGINT) AS total FROM docs WHERE len(terms) > 0
+), held AS (
+  SELECT place, term, count(*) AS tf FROM (SELECT place, unnest(terms) AS term FROM docs) GROUP BY ALL
+), weighted AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, totals GROUP BY term, n
+), scored AS (
+  SELECT item_id, text, docs.place, doc_id,
+         CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * len(terms) * n) // total)))) AS BIGINT) AS score
+  FROM items JOIN held USING (term) JOIN weighted USING (term) JOIN docs ON docs.place = held.place, totals
+  GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+@query("op12_lexical_search", OP12_SQL)
+def op12(spark, sf_dir):
+    """Every benchmark item's ten best documents by weighted terms."""
+    from faultline.llm import lexical
+
+    return lexical.search(lexical.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = """
+WITH vectors AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda v: CAST(floor(1024 * CAST(v AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, q.x, v.vec_id,
+         CAST(coalesce(list_sum(list_transform(list_zip(q.x, v.x), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))), 0) AS BIGINT) AS score
+  FROM vectors q JOIN vectors v ON q.vec_id % 100 = 0 AND NOT (q.vec_id = v.vec_id AND q.x = v.x)
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, x ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+"""
+
+
+@query("op11_exact_topk", OP11_SQL)
+def op11(spark, sf_dir):
+    """Of every vector whose id ends in 00 the ten others of highest integer inner product."""
+    from faultline.llm import exact_topk
+
+    return exact_topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
