@@ -1,13 +1,14 @@
 """Evaluation statistics from score points: one row per distinct score with its counts."""
 
+import hashlib
 import statistics
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 from faultline.operators.running import hash_level, ranked, running, value_level
+from faultline.session import materialize
 
 
 def score_points(df, keys, y="y", p="p"):
@@ -261,19 +262,16 @@ def significance_grid(results, comparisons=COMPARISONS):
     return effect_sizes(group_pairs(results, comparisons), ["regime", "model", "comparison"]).where("n_pairs >= 3")
 
 
-def _unit_hash(*columns):
-    """A reproducible number in [0, 1) from a hash of the columns."""
-    return (F.xxhash64(*columns).bitwiseAND(F.lit((1 << 53) - 1))).cast("double") / F.lit(float(1 << 53))
-
-
 def sign_flip_test(pairs, keys, pair_id, replicates=2000, alternative="two-sided", seed=42):
     """Paired test by flipping signs of the differences at random: p value and effect size per key.
 
-    A pair's sign in a replicate is a hash of both, so a rerun gives the same p value.
+    A pair's sign in a replicate is the first hex digit of md5("seed|replicate|pair"), minus below 8, so a rerun and any other
+    engine give the same p value. The replicates' sums are combined before they move.
     """
     diffs = pairs.select(*keys, pair_id, (F.col("score_a") - F.col("score_b")).alias("_d"))
     flipped = diffs.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_rep"))
-    sign = F.when(_unit_hash(F.lit(seed), F.col("_rep"), F.col(pair_id)) < 0.5, -1.0).otherwise(1.0)
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_rep").cast("string"), F.col(pair_id).cast("string")))
+    sign = F.when(F.substring(draw, 1, 1) < "8", -1.0).otherwise(1.0)
     null = flipped.groupBy(*keys, "_rep").agg(F.avg(sign * F.col("_d")).alias("_m"))
     effects = effect_sizes(pairs, keys)
     # the observed mean is subject to rounding like the replicates, so equality is tested with a tiny slack
@@ -289,59 +287,144 @@ def sign_flip_test(pairs, keys, pair_id, replicates=2000, alternative="two-sided
     )
 
 
-def _poisson_draws(replicates, seed):
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def draw(key: pd.Series, mean: pd.Series) -> pd.Series:
-        # one generator per score point, seeded by its key: a retried task draws the same numbers
-        return pd.Series([
-            np.random.Generator(np.random.Philox(key=(int(k) ^ seed) & 0xFFFFFFFFFFFFFFFF)).poisson(m, replicates).astype("int32")
-            for k, m in zip(key, mean)
-        ])
+#: Score points, or rows of replicate sums, that a task holds together.
+TOGETHER = 256
+
+
+def _poisson(mean, uniform):
+    """The Poisson numbers of a mean at which its distribution reaches the uniform ones."""
+    if not mean:
+        return np.zeros(len(uniform), np.int64)
+    k = np.arange(int(mean + 12 * mean**0.5) + 31)
+    logs = np.cumsum(np.log(np.maximum(k, 1)))
+    reached = np.cumsum(np.exp(-mean + k * np.log(mean) - logs))
+    return np.minimum(np.searchsorted(reached, uniform, side="right"), len(k) - 1)
+
+
+def _uniform(seed, kind, position, replicates):
+    """Draws of a score point: the first 13 hex digits of md5("seed|replicate|kind|position") as a fraction."""
+    heads = [hashlib.md5(f"{seed}|{r}|{kind}|{position}".encode()).hexdigest()[:13] for r in range(1, replicates + 1)]
+    return np.array([int(h, 16) for h in heads], np.float64) / 2.0**52
+
+
+def _resampled(points, replicates, seed):
+    """(positives, rows) of each point, in descending order of scores, in each replicate."""
+    order = np.argsort(points["position"].to_numpy())
+    position, pos, n = (points[c].to_numpy()[order].tolist() for c in ("position", "pos", "n"))
+    drawn = [[_poisson(m, _uniform(seed, kind, at, replicates)) for at, m in zip(position, means)] for kind, means in (("pos", pos), ("neg", [x - y for x, y in zip(n, pos)]))]
+    positives = np.array(drawn[0], np.int64).reshape(len(pos), replicates)
+    return positives, positives + np.array(drawn[1], np.int64).reshape(len(pos), replicates)
+
+
+VECTORS = "bucket long, a binary, b binary"
+
+
+def _vectors(table, name):
+    return np.array([np.frombuffer(v) for v in table[name].to_pylist()])
+
+
+def _row(bucket, a, b):
+    return pa.table({"bucket": pa.array([bucket], pa.int64()), "a": pa.array([a.astype(np.float64).tobytes()], pa.binary()), "b": pa.array([b.astype(np.float64).tobytes()], pa.binary())})
+
+
+def _upper(rows):
+    return rows.withColumn("upper", F.floor(F.col("bucket") / TOGETHER).cast("long"))
+
+
+def _added(rows):
+    """The vectors of all rows (bucket, a, b) added up, TOGETHER rows at a time; one row."""
+
+    def add(key, table):
+        return _row(key[0].as_py(), _vectors(table, "a").sum(axis=0), _vectors(table, "b").sum(axis=0))
 
-    return draw
+    top = rows.agg(F.max("bucket")).first()[0] or 0
+    while True:
+        rows = _upper(rows).groupBy("upper").applyInArrow(add, VECTORS)
+        if top < TOGETHER:
+            return rows
+        top //= TOGETHER
+
+
+def _earlier(rows):
+    """For each bucket of `rows` (bucket, a, b) the sums over all buckets before it, TOGETHER buckets at a time; `rows` is read
+    twice for each power of TOGETHER that the buckets reach."""
+
+    def add(key, table):
+        return _row(key[0].as_py(), _vectors(table, "a").sum(axis=0), _vectors(table, "b").sum(axis=0))
+
+    def before(table, offset_a, offset_b):
+        order = np.argsort(table["bucket"].to_numpy())
+        out = []
+        for name, offset in (("a", offset_a), ("b", offset_b)):
+            own = _vectors(table, name)[order]
+            out.append(np.cumsum(own, axis=0) - own + offset)
+        return pa.concat_tables([_row(b, x, y) for b, x, y in zip(table["bucket"].to_numpy()[order].tolist(), *out)])
+
+    if (rows.agg(F.max("bucket")).first()[0] or 0) < TOGETHER:
+        return _upper(rows).groupBy("upper").applyInArrow(lambda table: before(table, 0.0, 0.0), VECTORS)
+    offsets = _earlier(_upper(rows).groupBy("upper").applyInArrow(add, VECTORS)).withColumnRenamed("bucket", "upper")
+    grouped = _upper(rows).groupBy("upper").cogroup(offsets.groupBy("upper"))
+    return grouped.applyInArrow(lambda table, offset: before(table, _vectors(offset, "a")[0], _vectors(offset, "b")[0]), VECTORS)
+
+
+def replicate_scores(points, replicates, seed):
+    """The average precision of each replicate, NaN where it lacks a class.
+
+    A task draws a bucket of score points for all replicates and sends their sums as one array; sums of the buckets before
+    come back to it as one array, so replicates multiply buckets of TOGETHER points, neither rows nor scores.
+    """
+    down = points.withColumn("_down", -F.col("p"))
+    placed = ranked(down, [], [value_level(F.col("_down"))], ["_down"], "position").select("position", "pos", "n")
+    placed = materialize(placed.withColumn("bucket", F.floor((F.col("position") - 1) / TOGETHER).cast("long")), "points")
+
+    def sums(key, table):
+        positives, rows = _resampled(table, replicates, seed)
+        return _row(key[0].as_py(), positives.sum(axis=0), rows.sum(axis=0))
+
+    def areas(key, table, offset):
+        positives, rows = _resampled(table, replicates, seed)
+        tp = np.cumsum(positives, axis=0) + _vectors(offset, "a")
+        n = np.cumsum(rows, axis=0) + _vectors(offset, "b")
+        return _row(key[0].as_py(), (positives * tp / np.maximum(n, 1)).sum(axis=0), np.zeros(replicates))
+
+    buckets = materialize(placed.groupBy("bucket").applyInArrow(sums, VECTORS), "bucket-sums")
+    parts = placed.groupBy("bucket").cogroup(_earlier(buckets).groupBy("bucket")).applyInArrow(areas, VECTORS)
+    total, area = _added(buckets).first(), _added(parts).first()
+    if total is None:
+        return np.full(replicates, np.nan)
+    positives, rows = np.frombuffer(total["a"]), np.frombuffer(total["b"])
+    usable = (positives > 0) & (positives < rows)
+    return np.where(usable, np.frombuffer(area["a"]) / np.maximum(positives, 1), np.nan)
+
+
+BOOTSTRAP = "point_estimate double, lower double, upper double, std_error double, n_bootstrap long, method string"
 
 
 def bootstrap_ci(df, y="y", p="p", replicates=2000, confidence=0.95, method="bca", seed=42):
     """Bootstrap interval of the average precision, one row.
 
     Resampling counts are Poisson per row; rows with equal score and label have
-    equal effect, so one Poisson draw with their count as mean replaces them. The
-    replicates multiply distinct scores, not rows. Replicates without both classes
-    are dropped. The acceleration of `bca` leaves out each row in turn.
+    equal effect, so one Poisson draw with their count as mean replaces them. Replicates without both classes
+    are dropped. The acceleration of `bca` leaves out each row in turn; below 100 replicates the interval is the percentile one.
     """
     points = score_points(df, [], y, p)
-    draw = _poisson_draws(replicates, seed)
-    drawn = points.select(
-        "p",
-        draw(F.xxhash64(F.col("p"), F.lit("pos")), F.col("pos")).alias("_pos"),
-        draw(F.xxhash64(F.col("p"), F.lit("neg")), F.col("n") - F.col("pos")).alias("_neg"),
-    )
-    resampled = drawn.select("p", F.posexplode(F.arrays_zip("_pos", "_neg")).alias("rep", "c")).select(
-        "rep", "p", F.col("c._pos").cast("long").alias("pos"), (F.col("c._pos") + F.col("c._neg")).cast("long").alias("n")
-    ).where("n > 0")
-    scores = ranked_points(resampled, ["rep"]).where("positives > 0 AND positives < total").groupBy("rep").agg(
-        _precision_area().alias("ap")
-    )
-    point = ranked_points(points, []).agg(_precision_area().alias("ap")).scalar()
-    base = scores.withColumn("_point", point).agg(
-        F.avg((F.col("ap") < F.col("_point")).cast("double")).alias("below"),
-        F.stddev_pop("ap").alias("std_error"), F.count(F.lit(1)).alias("n_bootstrap"), F.max("_point").alias("point_estimate"),
-    ).first()
+    scores = replicate_scores(points, replicates, seed)
+    scores = scores[~np.isnan(scores)]
+    point = ranked_points(points, []).agg(_precision_area().alias("ap")).first()["ap"]
+    if not len(scores):
+        return df.sparkSession.createDataFrame([(point, None, None, None, 0, "percentile")], BOOTSTRAP)
     tail = (1 - confidence) / 2
     used, probs = "percentile", [tail, 1 - tail]
-    if method == "bca" and base["n_bootstrap"] >= 100:
+    if method == "bca" and len(scores) >= 100:
         used = "bca"
         normal = statistics.NormalDist()
-        below = min(max(base["below"], 1e-9), 1 - 1e-9)
+        below = min(max(float((scores < point).mean()), 1e-9), 1 - 1e-9)
         z0, a = normal.inv_cdf(below), _acceleration(points)
         probs = []
         for z in (normal.inv_cdf(tail), normal.inv_cdf(1 - tail)):
             probs.append(normal.cdf(z0 + (z0 + z) / (1 - a * (z0 + z))))
-    return scores.agg(
-        F.lit(base["point_estimate"]).alias("point_estimate"),
-        F.percentile("ap", F.lit(probs[0])).alias("lower"), F.percentile("ap", F.lit(probs[1])).alias("upper"),
-        F.lit(base["std_error"]).alias("std_error"), F.lit(base["n_bootstrap"]).alias("n_bootstrap"), F.lit(used).alias("method"),
-    )
+    lower, upper = np.quantile(scores, probs)
+    return df.sparkSession.createDataFrame([(float(point), float(lower), float(upper), float(scores.std()), len(scores), used)], BOOTSTRAP)
 
 
 def left_out(points):

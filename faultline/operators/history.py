@@ -11,8 +11,7 @@ commit_id, commit_date.
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from faultline.operators.running import DAY, day_level, month_level, rank_level, ranked, running
-from faultline.session import materialize
+from faultline.operators.running import DAY, quarter_level, rank_level, stepwise
 
 FILE = ["repo", "file_path"]
 
@@ -21,108 +20,89 @@ def with_ts(df):
     return df.withColumn("ts", F.unix_timestamp("commit_date"))
 
 
-def ranked_changes(changes):
-    """Changes with ts and rank, their position 1, 2, ... in the file's history."""
-    return ranked(with_ts(changes), FILE, [day_level(F.col("ts"))], ["ts", "commit_id"])
-
-
 def counts_before(points, events, keys, measures):
     """Sums of event measures strictly before each point's ts: rows (keys, ts, *measures)."""
-    zero = [F.lit(0).cast("long").alias(m) for m in measures]
-    steps = events.select(*keys, "ts", *[F.col(m).cast("long").alias(m) for m in measures]).unionByName(
-        points.select(*keys, "ts", *zero)
+    rows = events.select(*keys, "ts", *[F.col(m).cast("long").alias(m) for m in measures]).unionByName(
+        points.select(*keys, "ts"), allowMissingColumns=True
     )
-    steps = steps.groupBy(*keys, "ts").agg(*[F.sum(m).alias(f"_{m}") for m in measures])
-    return running(steps, keys, [month_level(F.col("ts"))], ["ts"], {m: ("sum", f"_{m}") for m in measures}).select(
-        *keys, "ts", *measures
+    return stepwise(rows, keys, "ts", quarter_level(F.col("ts")), {m: ("sum", m) for m in measures}).select(*keys, "ts", *measures)
+
+
+def _numbered(changes, before):
+    """Changes with rank, their position 1, 2, ... in the file's history: the number of changes before their second, and
+    their place in it. `before` has the former as `r` for every (file, ts)."""
+    place = Window.partitionBy(*FILE, "ts").orderBy("commit_id")
+    return changes.join(before, [*FILE, "ts"]).withColumn("rank", F.col("r") + F.row_number().over(place)).drop("r")
+
+
+def _items(changes, order, last=None):
+    """(file, kind, item, `order`, delta) for each word and author of a change, and with `last` for its departure so many positions later."""
+    words = F.filter(F.split(F.lower("message"), r"\s+"), lambda w: w != "")
+    items = F.concat(
+        F.transform(F.coalesce(words, F.array()), lambda w: F.struct(F.lit("word").alias("kind"), w.alias("item"))),
+        F.array(F.struct(F.lit("author").alias("kind"), F.coalesce("author", F.lit("")).alias("item"))),
     )
+    arrive = changes.select(*FILE, order, F.inline(items)).withColumn("delta", F.lit(1).cast("long"))
+    if last is None:
+        return arrive
+    moves = F.array(F.struct(F.col(order), F.col("delta")), F.struct((F.col(order) + last).alias(order), (-F.col("delta")).alias("delta")))
+    return arrive.select(*FILE, "kind", "item", F.inline(moves))
 
 
-def _items(changes, name, item, last):
-    """Arrivals of items at their rank and, for a sliding history, departures `last` ranks later."""
-    arrive = changes.select(*FILE, item.alias("item"), F.col("rank").alias("pos"), F.lit(1).alias("delta"))
-    if last is not None:
-        arrive = arrive.unionByName(
-            arrive.select(*FILE, "item", (F.col("pos") + last).alias("pos"), F.lit(-1).alias("delta"))
-        )
-    return arrive.groupBy(*FILE, "item", "pos").agg(F.sum("delta").alias("delta")).withColumn("kind", F.lit(name))
+def _moves(changes, order, moves):
+    """What changes bring at their positions and take away at others: `moves` are maps from measure to value, with the position
+    as `order`."""
+    names = sorted({n for m in moves for n in m})
+    rows = [F.struct(*[(m[n] if n in m else F.lit(None)).cast("long").alias(n) for n in names]) for m in moves]
+    return changes.select(*FILE, F.inline(F.array(*rows)))
 
 
-def _spread_terms(items):
-    """Per position, the change in sum(c*log2 c), sum(c*c), number of present items and item total.
+def _item_terms(items, order, level):
+    """Per file and position the change in sum(c*log2 c) and the number of words, in sum(c*c) and the number of present authors, and
+    the greatest count an author reaches; c is the running count of an item in its file. Each sum is the total over items, so
+    adding up the changes in order of position gives the state.
 
-    c is the running count of an item in its file. Each of the sums is the total
-    over items, so adding up the changes in position order gives the state.
+    The items of a file and bucket meet once, each with a row, ahead of its positions, that has its count before the bucket.
     """
-    keys = [*FILE, "kind", "item"]
-    counted = running(items, keys, [rank_level(F.col("pos"))], ["pos"], {"before": ("sum", "delta")})
-    before, after = F.col("before").cast("double"), (F.col("before") + F.col("delta")).cast("double")
+    bucketed = items.withColumn("_bucket", level)
+    earlier = Window.partitionBy(*FILE, "kind", "item").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = bucketed.groupBy(*FILE, "kind", "item", "_bucket").agg(F.sum("delta").alias("_sum"))
+    starts = starts.select(*FILE, "kind", "item", "_bucket", F.sum("_sum").over(earlier).alias("delta")).where("delta <> 0")
+    met = bucketed.unionByName(starts, allowMissingColumns=True).repartition(*FILE, "_bucket")
+    met = met.groupBy(*FILE, "_bucket", "kind", "item", order).agg(F.sum("delta").alias("delta"))
+    so_far = Window.partitionBy(*FILE, "_bucket", "kind", "item").orderBy(F.col(order).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    met = met.withColumn("count", F.coalesce(F.sum("delta").over(so_far), F.lit(0))).where(F.col(order).isNotNull())
+    before, after = F.col("count").cast("double"), (F.col("count") + F.col("delta")).cast("double")
 
     def xlogx(c):
         return F.when(c > 0, c * F.log2(c)).otherwise(F.lit(0.0))
 
-    return counted.groupBy(*FILE, "kind", "pos").agg(
-        F.sum(xlogx(after) - xlogx(before)).alias("d_xlogx"),
-        F.sum((after * after - before * before).cast("long")).alias("d_square"),
-        F.sum((after > 0).cast("long") - (before > 0).cast("long")).alias("d_present"),
-        F.sum("delta").alias("d_total"),
-    )
+    def of(kind, value):
+        return F.when(F.col("kind") == kind, value)
 
+    return met.groupBy(*FILE, "_bucket", order).agg(
+        F.sum(of("word", xlogx(after) - xlogx(before))).alias("word_xlogx"),
+        F.sum(of("word", F.col("delta"))).alias("word_total"),
+        F.sum(of("author", (after * after - before * before).cast("long"))).alias("author_square"),
+        F.sum(of("author", (after > 0).cast("long") - (before > 0).cast("long"))).alias("authors"),
+        F.max(of("author", after.cast("long"))).alias("top_author"),
+    ).drop("_bucket")
 
-def _author_peak(changes):
-    """Per change, the author's own number of changes so far; its running maximum is the top author's count."""
-    own = running(
-        changes.withColumn("_one", F.lit(1).cast("long")),
-        [*FILE, "author"], [day_level(F.col("ts"))], ["ts", "commit_id"],
-        {"own": ("sum", "_one")}, inclusive=True,
-    )
-    return own.select(*FILE, F.col("rank").alias("pos"), "own")
 
+_AGGREGATES = {
+    **dict.fromkeys(("changes", "fixes", "lines", "recent", "word_xlogx", "word_total", "author_square", "authors"), "sum"),
+    **dict.fromkeys(("top_author", "last_ts", "old_ts"), "max"), "first_ts": "min",
+}
 
-def history_states(changes, last=None):
-    """State after each position: rows (repo, file_path, pos, ...) for pos = 1 .. number of changes.
 
-    last=None keeps the whole past; last=n keeps the n latest changes only.
-    """
-    words = F.explode(F.filter(F.split(F.lower("message"), r"\s+"), lambda w: w != ""))
-    worded = changes.select(*FILE, "rank", words.alias("word"))
-    items = _items(changes, "author", F.col("author"), last).unionByName(
-        _items(worded, "word", F.col("word"), last)
-    )
-    terms = _spread_terms(items)
-
-    def of(kind, column):
-        return F.sum(F.when(F.col("kind") == kind, F.col(column)).otherwise(0))
-
-    spread = terms.groupBy(*FILE, "pos").agg(
-        of("word", "d_xlogx").alias("word_xlogx_"),
-        of("word", "d_total").alias("word_total_"),
-        of("author", "d_square").alias("author_square_"),
-        of("author", "d_present").alias("author_present_"),
-    )
-    plain = changes.select(
-        *FILE, F.col("rank").alias("pos"), "ts",
-        F.col("is_bug_fix").cast("long").alias("fixes_"), F.col("lines").cast("long").alias("lines_"),
-    )
-    if last is not None:
-        gone = plain.select(
-            *FILE, (F.col("pos") + last).alias("pos"), F.lit(None).cast("long").alias("ts"),
-            (-F.col("fixes_")).alias("fixes_"), (-F.col("lines_")).alias("lines_"),
-        )
-        plain = plain.unionByName(gone).groupBy(*FILE, "pos").agg(
-            F.max("ts").alias("ts"), F.sum("fixes_").alias("fixes_"), F.sum("lines_").alias("lines_")
-        )
-    steps = plain.join(spread, [*FILE, "pos"]).join(_author_peak(changes), [*FILE, "pos"], "left")
-    aggs = {
-        "fixes": ("sum", "fixes_"), "lines": ("sum", "lines_"),
-        "word_xlogx": ("sum", "word_xlogx_"), "word_total": ("sum", "word_total_"),
-        "author_square": ("sum", "author_square_"), "authors": ("sum", "author_present_"),
-        "top_author": ("max", "own"), "last_ts": ("max", "ts"), "first_ts": ("min", "ts"),
-    }
-    # positions beyond the last change only carry departures and are never looked up
-    return running(steps, FILE, [rank_level(F.col("pos"))], ["pos"], aggs, inclusive=True).where(
-        F.col("ts").isNotNull()
-    ).select(*FILE, "pos", F.col("ts").alias("pos_ts"), *aggs)
+def _states(items, moves, order, level, measures, inclusive=False, points=None):
+    """The state of each file before each of its positions (at it, if inclusive), also at `points`: one stream of what items and
+    changes bring, dealt out once by file and bucket."""
+    events = _item_terms(items, order, level).unionByName(moves, allowMissingColumns=True)
+    if points is not None:
+        events = events.unionByName(points, allowMissingColumns=True)
+    states = stepwise(events, FILE, order, level, {n: (_AGGREGATES[n], n) for n in measures}, inclusive)
+    return states.select(*FILE, order, *measures)
 
 
 def _entropy(total, xlogx):
@@ -130,34 +110,31 @@ def _entropy(total, xlogx):
 
 
 def file_history(changes, snapshots, recent_days=30, active_days=7):
-    """History metrics of each snapshot from the changes strictly before it, whole past."""
-    # five branches below start from the ranked changes, so these are written once
-    ranked_rows = materialize(ranked_changes(changes), "ranked")
-    snaps = with_ts(snapshots)
-    points = snaps.select(*FILE, "ts").unionByName(
-        snaps.select(*FILE, (F.col("ts") - recent_days * DAY).alias("ts"))
-    ).distinct()
-    before = counts_before(points, ranked_rows.withColumn("r", F.lit(1)), FILE, ["r"])
-    recent = before.select(*FILE, (F.col("ts") + recent_days * DAY).alias("ts"), F.col("r").alias("r_old"))
-    states = history_states(ranked_rows)
-    known = (
-        snaps.join(before, [*FILE, "ts"])
-        .join(recent, [*FILE, "ts"])
-        .join(states.withColumnRenamed("pos", "r"), [*FILE, "r"], "left")
-    )
-    r = F.col("r")
+    """History metrics of each snapshot from the changes strictly before it, whole past.
+
+    A row that leaves the recent changes is an event of its own, so everything is a running sum. Nothing is written in between.
+    """
+    stamped, snaps = with_ts(changes), with_ts(snapshots)
+    level, ts, one = quarter_level(F.col("ts")), F.col("ts"), F.lit(1)
+    moves = _moves(stamped, "ts", [
+        {"ts": ts, "changes": one, "fixes": F.col("is_bug_fix"), "lines": F.col("lines"), "recent": one, "first_ts": ts, "last_ts": ts},
+        {"ts": ts + recent_days * DAY, "recent": -one},
+    ])
+    measures = ["changes", "fixes", "lines", "recent", "word_xlogx", "word_total", "authors", "top_author", "first_ts", "last_ts"]
+    known = snaps.join(_states(_items(stamped, "ts"), moves, "ts", level, measures, points=snaps.select(*FILE, "ts")), [*FILE, "ts"])
+    r = F.col("changes")
     days_since = (F.col("ts") - F.col("last_ts")) / F.lit(float(DAY))
 
     def known_or(value, default):
         return F.when(r > 0, value).otherwise(default)
 
     return known.select(
-        *snapshots.columns,
+        *[snaps[c] for c in snapshots.columns],
         r.alias("previous_file_commits"),
-        known_or(F.col("fixes"), F.lit(0)).alias("previous_bug_fixes"),
-        known_or(F.col("authors"), F.lit(0)).alias("contributors"),
-        (r - F.col("r_old")).alias("recent_file_commits"),
-        known_or(F.col("lines"), F.lit(0)).alias("code_churn_history"),
+        F.col("fixes").alias("previous_bug_fixes"),
+        F.col("authors").alias("contributors"),
+        F.col("recent").alias("recent_file_commits"),
+        F.col("lines").alias("code_churn_history"),
         known_or((F.col("ts") - F.col("first_ts")) / float(DAY), F.lit(0.0)).alias("file_age_days"),
         known_or(days_since, F.lit(0.0)).alias("days_since_last_change"),
         known_or(F.col("top_author") / r, F.lit(0.0)).alias("ownership_concentration"),
@@ -173,27 +150,28 @@ def last_n_history(changes, snapshots, last=100, recent_days=30, active_days=7):
     """The Java profile: only the `last` latest changes strictly before the snapshot count.
 
     Concentration is the sum of squared author shares, the mean gap is in hours,
-    ages are whole days, experience is commits / 50 up to 1.
+    ages are whole days, experience is commits / 50 up to 1. Changes are numbered in their file; what the change of rank k
+    brings departs at rank k + last, and a snapshot after r changes takes the state at rank r.
     """
-    # five branches below start from the ranked changes, so these are written once
-    ranked_rows = materialize(ranked_changes(changes), "ranked")
-    snaps = with_ts(snapshots)
-    points = snaps.select(*FILE, "ts").unionByName(
-        snaps.select(*FILE, (F.col("ts") - recent_days * DAY).alias("ts"))
-    ).distinct()
-    before = counts_before(points, ranked_rows.withColumn("r", F.lit(1)), FILE, ["r"])
-    recent = before.select(*FILE, (F.col("ts") + recent_days * DAY).alias("ts"), F.col("r").alias("r_old"))
-    states = history_states(ranked_rows, last)
-    oldest = ranked_rows.select(*FILE, F.col("rank").alias("pos_old"), F.col("ts").alias("old_ts"))
-    known = (
-        snaps.join(before, [*FILE, "ts"])
-        .join(recent, [*FILE, "ts"])
-        .withColumn("pos_old", F.greatest(F.col("r") - (last - 1), F.lit(1)))
-        .join(states.withColumnRenamed("pos", "r"), [*FILE, "r"], "left")
-        .join(oldest, [*FILE, "pos_old"], "left")
+    stamped, snaps = with_ts(changes), with_ts(snapshots)
+    one, day = F.lit(1).cast("long"), recent_days * DAY
+    arrivals = stamped.select(*FILE, F.explode(F.array(F.struct("ts", one.alias("n"), one.alias("recent")), F.struct((F.col("ts") + day).alias("ts"), F.lit(0).cast("long").alias("n"), (-one).alias("recent")))).alias("e"))
+    points = arrivals.select(*FILE, "e.*").unionByName(snaps.select(*FILE, "ts"), allowMissingColumns=True)
+    before = stepwise(points, FILE, "ts", quarter_level(F.col("ts")), {"r": ("sum", "n"), "recent": ("sum", "recent")}).select(*FILE, "ts", "r", "recent")
+    numbered = _numbered(stamped, before.drop("recent"))
+    level = rank_level(F.col("rank"))
+    rank, ts, fix = F.col("rank"), F.col("ts"), F.col("is_bug_fix").cast("long")
+    moves = _moves(numbered, "rank", [
+        {"rank": rank, "fixes": fix, "first_ts": ts, "last_ts": ts}, {"rank": rank + last, "fixes": -fix}, {"rank": rank + (last - 1), "old_ts": ts},
+    ])
+    states = _states(
+        _items(numbered, "rank", last), moves, "rank", level, ["fixes", "word_xlogx", "word_total", "author_square", "authors", "first_ts", "last_ts", "old_ts"], inclusive=True
     )
+    # ranks beyond the last change only carry departures and are never looked up
+    known = snaps.join(before, [*FILE, "ts"]).join(states.withColumnRenamed("rank", "r"), [*FILE, "r"], "left")
     r = F.col("r")
     n = F.least(r, F.lit(last).cast("long"))
+    oldest = F.coalesce("old_ts", "first_ts")
 
     def known_or(value, default):
         return F.when(r > 0, value).otherwise(default)
@@ -203,13 +181,13 @@ def last_n_history(changes, snapshots, last=100, recent_days=30, active_days=7):
         n.alias("previous_file_commits"),
         known_or(F.col("fixes"), F.lit(0)).alias("previous_bug_fixes"),
         known_or(F.col("authors"), F.lit(0)).alias("contributors"),
-        F.least(n, r - F.col("r_old")).alias("recent_file_commits"),
-        known_or(F.floor((F.col("ts") - F.col("old_ts")) / DAY).cast("double"), F.lit(0.0)).alias("file_age_days"),
+        F.least(n, F.col("recent")).alias("recent_file_commits"),
+        known_or(F.floor((F.col("ts") - oldest) / DAY).cast("double"), F.lit(0.0)).alias("file_age_days"),
         known_or(F.floor((F.col("ts") - F.col("last_ts")) / DAY).cast("double"), F.lit(0.0)).alias("days_since_last_change"),
         known_or(F.least(n / F.lit(50.0), F.lit(1.0)), F.lit(0.0)).alias("developer_experience"),
         known_or(F.col("author_square") / (n * n), F.lit(1.0)).alias("ownership_concentration"),
         known_or(F.round(_entropy(F.col("word_total"), F.col("word_xlogx")), 4), F.lit(0.0)).alias("commit_message_entropy"),
-        F.when(n > 1, (F.col("last_ts") - F.col("old_ts")) / 3600.0 / (n - 1)).otherwise(0.0).alias("avg_time_between_commits"),
+        F.when(n > 1, (F.col("last_ts") - oldest) / 3600.0 / (n - 1)).otherwise(0.0).alias("avg_time_between_commits"),
         known_or((F.col("authors") > 1).cast("int"), F.lit(0)).alias("has_multiple_contributors"),
         known_or((F.col("ts") - F.col("last_ts") <= active_days * DAY).cast("int"), F.lit(0)).alias("is_recently_touched"),
     )
@@ -227,12 +205,9 @@ def author_experience(commits):
 
 def asof_history(changes, snapshots):
     """As-of join: the number of earlier changes of the file and the latest one strictly before the snapshot."""
-    ranked_rows = ranked_changes(changes)
-    snaps = with_ts(snapshots)
-    before = counts_before(
-        snaps.select(*FILE, "ts").distinct(), ranked_rows.withColumn("r", F.lit(1)), FILE, ["r"]
-    )
-    latest = ranked_rows.select(
+    stamped, snaps = with_ts(changes), with_ts(snapshots)
+    before = counts_before(snaps.select(*FILE, "ts"), stamped.withColumn("r", F.lit(1)), FILE, ["r"])
+    latest = _numbered(stamped, before).select(
         *FILE, F.col("rank").alias("r"), F.col("commit_id").alias("last_commit_id"), F.col("ts").alias("last_ts")
     )
     return (

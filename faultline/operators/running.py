@@ -16,6 +16,14 @@ DAY = 86400
 MONTH = 30 * DAY
 
 
+QUARTER = 91 * DAY
+
+
+def quarter_level(ts):
+    """Whole seconds by 91 days: at most 7,862,400 different ones in a bucket, and some 200 buckets in fifty years."""
+    return F.floor(ts / F.lit(QUARTER))
+
+
 def day_level(ts):
     return F.floor(ts / F.lit(DAY))
 
@@ -93,6 +101,50 @@ def running(df, keys, levels, order, aggs, inclusive=False):
     return joined.select(*df.columns, *result)
 
 
+def stepwise(events, keys, order, level, aggs, inclusive=False):
+    """Aggregates of the events before each different (keys, order), one row for each: (keys, order, names, at_names).
+
+    events: rows of `keys`, `order` and the input columns, read once; those with a null key or order count for nothing. They
+            are dealt out by keys and bucket and combined per position there; the totals of a bucket come from the same rows.
+    level:  the bucket, non-decreasing in `order`, with a bounded number of positions: what one task holds of a
+            group is bounded by that number, whatever the data.
+    aggs:   {name: ("sum" | "max" | "min", input column)}; `name` is the aggregate before the position (and at it if
+            inclusive), `at_name` the one of the position alone. Sums are 0 before the first position, others null.
+    """
+    kinds = {out: kind for out, (kind, _) in aggs.items()}
+    present = F.col(order).isNotNull() & F.col("_bucket").isNotNull()
+    for key in keys:
+        present = present & F.col(key).isNotNull()
+    # both branches below ask for all columns of `steps`, under the filters that the join would add to one of them, and the
+    # second renames its own: so Spark sees that they start from one exchange, and runs what is below it once
+    dealt = events.withColumn("_bucket", level).where(present).repartition(*keys, "_bucket")
+    steps = dealt.groupBy(*keys, "_bucket", order).agg(*[_COMBINE[kind](col).alias(f"at_{out}") for out, (kind, col) in aggs.items()])
+    inside = (
+        Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    )
+    own = [f"at_{out}" for out in kinds]
+    local = steps.select(
+        *keys, "_bucket", order, *own, *[_COMBINE[kind](f"at_{out}").over(inside).alias(f"_in_{out}") for out, kind in kinds.items()]
+    )
+    totals = steps.groupBy(*keys, "_bucket").agg(*[_COMBINE[kind](f"at_{out}").alias(f"_all_{out}") for out, kind in kinds.items()])
+    named = totals.select(*[F.col(c).alias(f"_of_{c}") for c in (*keys, "_bucket")], *[F.col(f"_all_{out}").alias(f"_sum_{out}") for out in kinds])
+    before = Window.partitionBy(*[f"_of_{c}" for c in keys]).orderBy("_of__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = named.select(
+        *[f"_of_{c}" for c in (*keys, "_bucket")], *[_COMBINE[kind](f"_sum_{out}").over(before).alias(f"_before_{out}") for out, kind in kinds.items()]
+    )
+    same = F.col("_bucket") == F.col("_of__bucket")
+    for key in keys:
+        same = same & (F.col(key) == F.col(f"_of_{key}"))
+
+    def whole(out, kind):
+        parts = F.col(f"_in_{out}"), F.col(f"_before_{out}")
+        if kind == "sum":
+            return F.coalesce(parts[0], F.lit(0)) + F.coalesce(parts[1], F.lit(0))
+        return (F.greatest if kind == "max" else F.least)(*parts)
+
+    return local.join(offsets, same).select(*keys, order, *own, *[whole(out, kind).alias(out) for out, kind in kinds.items()])
+
+
 def ranked(df, keys, levels, order, out="rank"):
     """Row number 1, 2, 3, ... per `keys` in the order (levels, order)."""
     one = df.withColumn("_one", F.lit(1).cast("long"))

@@ -225,16 +225,48 @@ def significance_grid(pr):
     return rounded(op.significance_grid(results_of(pr)))
 
 
-@query("sign_flip_test", "PR")
+@query(
+    "sign_flip_test", "PR",
+    f"""WITH {RES}, {SIGN},
+flips AS (SELECT regime, model, comparison, rep, avg((sa - sb) * CASE WHEN substr(md5(concat('42|', rep, '|', key)), 1, 1) < '8' THEN -1 ELSE 1 END) AS m
+  FROM pairs, range(1, 2001) r(rep) GROUP BY ALL)
+SELECT regime, model, comparison, any_value(n_pairs) AS n_pairs, round(any_value(diff), 8) AS observed_diff, round(any_value(d), 8) AS cohens_d,
+  any_value(CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END) AS effect_magnitude,
+  avg((abs(m) >= abs(diff) - 1e-12::DOUBLE)::INT) AS p_value, avg((abs(m) >= abs(diff) - 1e-12::DOUBLE)::INT) < 0.05 AS significant_at_0_05, 'two-sided' AS alternative
+FROM flips JOIN eff USING (regime, model, comparison) GROUP BY 1, 2, 3""",
+)
 def sign_flip_test(pr):
-    """p values depend on seeded hashes; no check SQL."""
-    return op.sign_flip_test(op.group_pairs(results_of(pr)), ["regime", "model", "comparison"], "key", 500)
+    return rounded(op.sign_flip_test(op.group_pairs(results_of(pr)), ["regime", "model", "comparison"], "key"))
+
+
+RESAMPLED = """pts AS (SELECT p_full AS p, sum(y)::BIGINT AS pos, count(*) AS n, row_number() OVER (ORDER BY p_full DESC) AS position FROM pr_predictions GROUP BY 1),
+kinds AS (SELECT position, 'pos' AS kind, pos AS mean FROM pts UNION ALL SELECT position, 'neg', n - pos FROM pts),
+ks AS (SELECT mean, k, exp(-mean + k * ln(mean) - sum(ln(greatest(k, 1))) OVER (PARTITION BY mean ORDER BY k)) AS pmf
+  FROM (SELECT DISTINCT mean FROM kinds WHERE mean > 0), LATERAL (SELECT unnest(range(0, CAST(floor(mean + 12 * sqrt(mean)) AS BIGINT) + 31)) AS k)),
+cdf AS (SELECT mean, k, coalesce(sum(pmf) OVER (PARTITION BY mean ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low FROM ks),
+draws AS (SELECT position, kind, mean, rep, ('0x' || substr(md5(concat('42|', rep, '|', kind, '|', position)), 1, 13))::BIGINT / 4503599627370496e0 AS u
+  FROM kinds, range(1, 2001) r(rep) WHERE mean > 0),
+drawn AS (SELECT rep, position, coalesce(sum(k) FILTER (kind = 'pos'), 0) AS pos, sum(k) AS n FROM draws ASOF JOIN cdf ON draws.mean = cdf.mean AND draws.u >= cdf.low GROUP BY 1, 2),
+placed AS (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS c FROM drawn WINDOW w AS (PARTITION BY rep ORDER BY position)),
+reps AS (SELECT rep, sum(CASE WHEN c > 0 THEN pos * tp / c::DOUBLE ELSE 0 END) / sum(pos) AS ap FROM placed GROUP BY 1 HAVING sum(pos) > 0 AND sum(pos) < sum(n))"""
 
 
-@query("bootstrap_ci", "PR")
+@query(
+    "bootstrap_ci", "PR",
+    f"""WITH {RESAMPLED}, {curve_sql('(SELECT p_full, y FROM pr_predictions)', [], 'p_full')
+        .replace('pts AS', 'curve AS')}
+SELECT (SELECT round({AP}, 8) FROM curve) AS point_estimate, round(quantile_cont(ap, 0.025), 8) AS lower, round(quantile_cont(ap, 0.975), 8) AS upper,
+  round(stddev_pop(ap), 8) AS std_error, count(*) AS n_bootstrap, 'percentile' AS method FROM reps""",
+)
 def bootstrap_ci(pr):
-    """Interval of the pooled average precision; random draws, no check SQL."""
-    return op.bootstrap_ci(pr, p="p_full", replicates=200)
+    """Percentile interval of the pooled average precision."""
+    return rounded(op.bootstrap_ci(pr, p="p_full", method="percentile"))
+
+
+@query("bootstrap_bca", "PR")
+def bootstrap_bca(pr):
+    """The same with bias correction and acceleration, which need the normal distribution's inverse; no check SQL."""
+    return op.bootstrap_ci(pr, p="p_full")
 
 
 KAPPA = """t AS (SELECT count(*) FILTER (a AND b) AS tp, count(*) FILTER (NOT a AND NOT b) AS tn, count(*) FILTER (NOT a AND b) AS fp, count(*) FILTER (a AND NOT b) AS fn, count(*) AS n FROM ab),

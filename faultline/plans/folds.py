@@ -38,7 +38,31 @@ def temporal_folds(sn):
   strftime(to_timestamp(min(ts)) AT TIME ZONE 'UTC', '%Y-%m-%d') AS first_date, strftime(to_timestamp(max(ts)) AT TIME ZONE 'UTC', '%Y-%m-%d') AS last_date FROM folds GROUP BY 1, 2""",
 )
 def fold_stats(sn):
-    return op.fold_stats(unit_folds(sn), "unit")
+    """From the intervals: no row is repeated per fold."""
+    day = lambda c: F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd")
+    return op.interval_stats(op.fold_intervals(units(sn), file="unit"), "unit").select("fold", "role", "rows", "files", "positives", day("first").alias("first_date"), day("last").alias("last_date"))
+
+
+@query(
+    "fold_intervals", "SN",
+    f"""WITH {FOLDS}, n AS (SELECT count(DISTINCT fold) AS n FROM folds)
+SELECT s.repo, s.file_path, s.commit_id, (min(fold) FILTER (role = 'train'))::INT AS train_from, (max(fold) FILTER (role = 'test'))::INT AS test_fold
+FROM s LEFT JOIN folds ON s.repo = folds.repo AND s.file_path = folds.file_path AND s.commit_id = folds.commit_id GROUP BY 1, 2, 3""",
+)
+def fold_intervals(sn):
+    return op.fold_intervals(units(sn), file="unit").select(*ROW, "train_from", "test_fold")
+
+
+@query(
+    "interval_checks", "SN",
+    f"""WITH {FOLDS}, a AS (SELECT fold, count(*) FILTER (role = 'train') AS train_rows, count(*) FILTER (role = 'test') AS test_rows,
+  max(ts) FILTER (role = 'train') AS max_train, min(ts) FILTER (role = 'test') AS min_test FROM folds GROUP BY 1),
+b AS (SELECT fold, count(*) AS shared FROM (SELECT fold, unit FROM folds WHERE role = 'train' INTERSECT SELECT fold, unit FROM folds WHERE role = 'test') GROUP BY 1)
+SELECT fold, train_rows, test_rows, max_train::BIGINT AS max_train, min_test::BIGINT AS min_test, coalesce(shared, 0) AS shared_files,
+  train_rows < 50 OR test_rows < 10 OR coalesce(shared, 0) > 0 OR coalesce(max_train >= min_test, false) AS violated FROM a LEFT JOIN b USING (fold)""",
+)
+def interval_checks(sn):
+    return op.interval_checks(op.fold_intervals(units(sn), file="unit"), "unit")
 
 
 @query(
