@@ -22,12 +22,6 @@ EXTENSIONS = {
     ".rb": "ruby", ".php": "php", ".swift": "swift", ".md": "markdown", ".json": "json",
     ".yaml": "yaml", ".yml": "yaml", ".toml": "toml", ".sh": "shell", ".bash": "shell",
 }
-BADGES = {
-    "python": "🐍 Python", "java": "☕ Java", "kotlin": "🟣 Kotlin", "javascript": "🟨 JavaScript",
-    "typescript": "🔷 TypeScript", "go": "🐹 Go", "rust": "🦀 Rust", "c": "⚙️ C", "cpp": "⚙️ C++",
-    "ruby": "💎 Ruby", "php": "🐘 PHP", "swift": "🐦 Swift", "markdown": "📝 Markdown",
-    "json": "📋 JSON", "yaml": "⚙️ YAML", "shell": "💻 Shell", "plaintext": "📄 Text",
-}
 BINARY_EXTENSIONS = [
     ".jpg", ".jpeg", ".png", ".gif", ".webp", ".bmp", ".ico", ".svg",
     ".pdf", ".zip", ".tar", ".gz", ".7z", ".rar", ".exe", ".dll", ".so",
@@ -68,11 +62,6 @@ def language_of(path):
     return F.coalesce(F.try_element_at(table, extension(path)), F.lit("plaintext"))
 
 
-def badge_of(language):
-    table = F.create_map(*[F.lit(x) for kv in BADGES.items() for x in kv])
-    return F.coalesce(F.try_element_at(table, language), F.lit("📄 File"))
-
-
 def file_class(path):
     """python, polyglot (a known extension), binary or plaintext."""
     ext = extension(path)

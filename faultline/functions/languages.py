@@ -3,8 +3,9 @@
 _C_MARKERS = dict(line=r"^\s*//", start=r"/\*", end=r"\*/")
 _C_BRANCHES = [r"\bif\b", r"\belse\b", r"\bfor\b", r"\bwhile\b", r"\bcase\b", r"\bcatch\b", r"\b&&|\b\|\|", r"\bswitch\b"]
 
-# `function` keeps the declaration's capturing groups; text in front of a declaration
-# that does not change the matches (repeated modifiers) is left out.
+# `function` keeps the declaration's capturing groups; text in front of a declaration that does not change where matches end nor
+# what the groups hold (repeated modifiers) is left out, since a repeated group makes the matcher recurse for every turn
+# and long lines would overflow its stack. tests/test_blocks.py has a declaration with modifiers for each language.
 LANGUAGES = {
     "java": dict(
         **_C_MARKERS, branches=_C_BRANCHES,
@@ -75,9 +76,14 @@ JAVA_KEYWORDS = [
     "void", "volatile", "while", "true", "false",
 ]
 
+PYTHON_KEYWORDS = [
+    "False", "None", "True", "and", "as", "assert", "async", "await", "break", "class", "continue", "def", "del", "elif", "else",
+    "except", "finally", "for", "from", "global", "if", "import", "in", "is", "lambda", "nonlocal", "not", "or", "pass", "raise",
+    "return", "try", "while", "with", "yield",
+]
+
 # Python by indentation and text; stands in for a syntax tree.
 PYTHON_DEF = r"^\s*(?:async\s+)?def\s+\w+"
-PYTHON_PARAMS = r"(?m)^\s*(?:async\s+)?def\s+\w+\s*\(([^)]*)\)"
 PYTHON_CLASS = r"^\s*class\s+\w+"
 PYTHON_IMPORT = r"(?m)^\s*(?:import|from)\s+\w"
 PYTHON_BRANCH = r"\b(?:if|elif|for|while|except|and|or)\b"

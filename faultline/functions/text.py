@@ -29,6 +29,7 @@ NOISE_PATTERNS = [
     r"git-svn-id\b", r"\bmove\b", r"\brename\b", r"\brevert\b", r"\bupgrade\b", r"\bupdate\s+version\b", r"\bbump\b",
 ]
 
+# The ordered annotation rules.
 CHORE_PATTERNS = [
     r"^bump version", r"^merge\b", r"^revert\b", r"^release\b", r"^ci\b", r"^build\b", r"^github actions",
     r"^pre-commit", r"^flake8", r"^isort", r"^black\b", r"^formatting",
@@ -48,6 +49,11 @@ REMEDY_WORDS = ["test", "debug", "prevent", "avoid", "handle", "correct", "repai
 STRATA = ["high_conf_positive", "boundary", "near_miss", "high_conf_negative"]
 
 
+def strip(text):
+    """`text` without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def _leading_word(pattern):
     """The literal text a pattern must start with, or '' when it has none."""
     found = re.match(r"\^?(?:\\b)?([a-z#-]+)(.?)", pattern)
@@ -74,7 +80,7 @@ def _count_hits(text, patterns):
 
 
 def clean_text(message):
-    return F.trim(F.lower(message))
+    return strip(F.lower(message))
 
 
 def score_counts(text, message, match_issue_keys=False):
@@ -90,7 +96,7 @@ def score_counts(text, message, match_issue_keys=False):
     k = F.least(F.when(any_word, matched).otherwise(0), F.lit(3))
     issues = _count_hits(text, ISSUE_PATTERNS)
     if match_issue_keys:
-        issues = issues + F.trim(message).rlike("(?U)" + ISSUE_KEY_PATTERN).cast("int")
+        issues = issues + strip(message).rlike("(?U)" + ISSUE_KEY_PATTERN).cast("int")
     i = F.least(issues, F.lit(2))
     s = F.least(_count_hits(text, STRONG_PATTERNS), F.lit(3))
     n = F.least(_count_hits(text, NOISE_PATTERNS), F.lit(2))
@@ -116,7 +122,7 @@ def stratum(score, k):
 
 def rule_annotation(message):
     """Struct label, confidence, note from ordered rules."""
-    text = F.trim(F.lower(message))
+    text = strip(F.lower(message))
 
     def any_hit(patterns):
         found = F.lit(False)

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from faultline.functions.text import DEFAULT_THRESHOLD, clean_text, raw_score, rule_annotation, score_counts, stratum
+from faultline.functions.text import DEFAULT_THRESHOLD, clean_text, raw_score, rule_annotation, score_counts, stratum, strip
 
 
 def score_commits(commits, threshold=DEFAULT_THRESHOLD, match_issue_keys=False):
@@ -22,15 +22,16 @@ def score_commits(commits, threshold=DEFAULT_THRESHOLD, match_issue_keys=False):
 
 
 def threshold_sweep(commits, thresholds):
-    """Commits and bug-fix share per threshold.
+    """Commits and bug-fix share per threshold, which the score must reach unrounded, as in score_commits.
 
-    Commits are first counted per (score, noise flag), so the thresholds multiply
-    a handful of rows and not the commits.
+    Commits are first counted per combination of hits, so the thresholds multiply a handful of rows and not the commits.
     """
-    scored = score_commits(commits).groupBy("score", "noise_dominated").agg(F.count(F.lit(1)).alias("commits"))
+    hits = ["k", "i", "s", "n"]
+    scored = score_commits(commits).groupBy(*hits, "noise_dominated").agg(F.count(F.lit(1)).alias("commits"))
+    scored = scored.withColumn("_raw", raw_score(*[F.col(c) for c in hits]))
     grid = scored.select("*", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold"))
     positive = F.sum(
-        F.when((F.col("score") >= F.col("threshold")) & ~F.col("noise_dominated"), F.col("commits")).otherwise(0)
+        F.when((F.col("_raw") >= F.col("threshold")) & ~F.col("noise_dominated"), F.col("commits")).otherwise(0)
     )
     return grid.groupBy("threshold").agg(
         F.sum("commits").alias("commits"),
@@ -65,7 +66,7 @@ def first_n_commits(commits, n=120, min_length=5):
     numbered = commits.withColumn(
         "_n", F.row_number().over(Window.partitionBy("repo").orderBy("commit_date", "commit_id"))
     )
-    return numbered.where((F.col("_n") <= n) & (F.length(F.trim("message")) > min_length)).drop("_n")
+    return numbered.where((F.col("_n") <= n) & (F.length(strip(F.col("message"))) > min_length)).drop("_n")
 
 
 def strata_distribution(commits):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from faultline.operators.running import DAY, day_level, exact_quantiles, month_level, running, value_level
+from faultline.operators.running import DAY, day_level, exact_quantiles, quarter_level, running, stepwise
 
 FILE = ["repo", "file_path"]
 
@@ -153,60 +153,73 @@ def causal_rank(snapshots, columns, key=None):
     values that share the higher digits form a node, and a running count per digit
     over time tells how many earlier snapshots have a smaller digit in the node.
     Adding these over the positions gives the exact count with a handful of rows
-    per snapshot, and each running count is cut by time.
+    per snapshot; each running count is cut by time, the dense ranks by quantiles of the values. A null has no rank.
     """
     key = key or [*FILE, "commit_id"]
     stamped = _stamped(snapshots)
     cells = stamped.select(
-        *key, "ts",
-        F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])).alias("c"),
-    ).select(*key, "ts", "c.feature", "c.x")
+        *key, "ts", F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns]))
+    ).where("x IS NOT NULL AND ts IS NOT NULL")
     points = cells.groupBy("repo", "feature", "x", "ts").agg(F.count(F.lit(1)).alias("m"))
 
-    values = points.select("repo", "feature", "x").distinct().withColumn("_one", F.lit(1).cast("long"))
-    dense = running(values, ["repo", "feature"], [value_level(F.col("x"))], ["x"], {"pos": ("sum", "_one")}).drop("_one")
+    values = points.select("repo", "feature", "x").distinct().withColumn("one", F.lit(1).cast("long"))
+    values, level = _level_from_data(values)
+    dense = stepwise(values, ["repo", "feature"], "x", level, {"pos": ("sum", "one")}).select("repo", "feature", "x", "pos")
     sizes = dense.groupBy("repo", "feature").agg(F.max("pos").alias("top"))
     placed = points.join(dense, ["repo", "feature", "x"]).join(sizes, ["repo", "feature"])
 
     base = 1 << DIGIT_BITS
-    depth = F.greatest(F.ceil(F.log2(F.col("top") + 1.0) / DIGIT_BITS), F.lit(1))
+    depth = F.greatest(F.ceil(F.log2(F.col("top") + 1.0) / DIGIT_BITS), F.lit(1)).cast("int")
     digits = placed.select(
-        "repo", "feature", "ts", "pos", "m", F.explode(F.sequence(F.lit(0), depth.cast("int") - 1)).alias("digit_no")
+        "repo", "feature", "ts", "x", "pos", "m", (depth - 1).alias("first"), F.explode(F.sequence(F.lit(0), depth - 1)).alias("digit_no")
     ).select(
         "*",
         F.expr(f"shiftright(pos, (digit_no + 1) * {DIGIT_BITS})").alias("node"),
         F.expr(f"cast(shiftright(pos, digit_no * {DIGIT_BITS}) & {base - 1} AS int)").alias("digit"),
     )
-    counts = digits.groupBy("repo", "feature", "digit_no", "node", "ts").agg(
-        *[F.sum(F.when(F.col("digit") == d, F.col("m")).otherwise(0)).alias(f"m{d}") for d in range(base)]
+    counts = digits.select(
+        "repo", "feature", "digit_no", "node", "ts", *[F.when(F.col("digit") == d, F.col("m")).otherwise(0).alias(f"m{d}") for d in range(base)]
     )
-    seen = running(
-        counts, ["repo", "feature", "digit_no", "node"], [month_level(F.col("ts"))], ["ts"],
-        {f"s{d}": ("sum", f"m{d}") for d in range(base)}, inclusive=True,
-    ).select("repo", "feature", "digit_no", "node", "ts", F.array(*[f"s{d}" for d in range(base)]).alias("seen"))
-    # smaller digits count at every position; at the last position the value itself counts too
+    node = ["repo", "feature", "digit_no", "node"]
+    seen = stepwise(counts, node, "ts", quarter_level(F.col("ts")), {f"s{d}": ("sum", f"m{d}") for d in range(base)}, inclusive=True)
+    seen = seen.select(*node, "ts", F.array(*[f"s{d}" for d in range(base)]).alias("seen"))
+    # smaller digits count at every position; at the last position the value itself counts too; all digits of the first are the total
     upto = F.slice(F.col("seen"), F.lit(1), F.col("digit") + F.when(F.col("digit_no") == 0, 1).otherwise(0))
-    smaller = F.aggregate(upto, F.lit(0).cast("long"), lambda a, v: a + v)
-    at_most = (
-        digits.join(seen, ["repo", "feature", "digit_no", "node", "ts"])
-        .groupBy("repo", "feature", "ts", "pos")
-        .agg(F.sum(smaller).alias("at_most"))
-    )
-    totals = running(
-        points.groupBy("repo", "feature", "ts").agg(F.sum("m").alias("m")),
-        ["repo", "feature"], [month_level(F.col("ts"))], ["ts"], {"total": ("sum", "m")}, inclusive=True,
-    ).drop("m")
+    added = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda n, v: n + v)
     ranks = (
-        at_most.join(dense, ["repo", "feature", "pos"])
-        .join(totals, ["repo", "feature", "ts"])
-        .select("repo", "feature", "ts", "x", (F.col("at_most") / F.col("total")).alias("share"))
+        digits.join(seen, [*node, "ts"])
+        .groupBy("repo", "feature", "ts", "x")
+        .agg((F.sum(added(upto)) / F.max(F.when(F.col("digit_no") == F.col("first"), added(F.col("seen"))))).alias("share"))
     )
     wide = (
         cells.join(ranks, ["repo", "feature", "ts", "x"])
         .groupBy(*key)
         .agg(*[F.max(F.when(F.col("feature") == c, F.col("share"))).alias(f"rank_{c}") for c in columns])
     )
-    return snapshots.join(wide, key)
+    return snapshots.join(wide, key, "left")
+
+
+def _level_from_data(values, parts=256):
+    """`values` with `_level`, the part of all values of its feature that x lies in: borders are quantiles of the rows, so a part holds
+    about an equal share of them however they crowd. Returns the frame and the level column."""
+    borders = values.groupBy("feature").agg(F.percentile_approx("x", F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10_000).alias("b"))
+    table = borders.agg(F.map_from_entries(F.collect_list(F.struct("feature", "b")))).scalar()  # a row for each feature
+    placed = values.withColumn("_borders", table)
+    at = knots_upto(F.element_at(F.col("_borders"), F.col("feature")), F.col("x"))
+    return placed.select(*values.columns, at.alias("_level")), F.col("_level")
+
+
+def knots_upto(knots, x):
+    """How many of the sorted `knots` are at most x, by bisection."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(knots) + 1.0)).cast("int"))
+    start = F.struct(F.lit(0).alias("lo"), F.size(knots).alias("hi"))
+
+    def halve(a, _):
+        mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        right = (a["lo"] < a["hi"]) & (F.get(knots, mid) <= x)
+        return F.struct(F.when(right, mid + 1).otherwise(a["lo"]).alias("lo"), F.when(right | (a["lo"] >= a["hi"]), a["hi"]).otherwise(mid).alias("hi"))
+
+    return F.aggregate(steps, start, halve, lambda a: a["lo"])
 
 
 def repo_medians(snapshots, columns):
@@ -256,8 +269,8 @@ def quantile_rank(df, columns, table):
         xs = F.try_element_at(F.col("_tables"), F.lit(c))
         step = 0.98 / F.greatest(F.size(xs) - 1, F.lit(1))
         x = F.col(c).cast("double")
-        # last knot at or below x (1-based); knots are sorted, so counting them finds it
-        i = F.size(F.filter(xs, lambda k: k <= x))
+        # last knot at or below x, 1-based
+        i = knots_upto(xs, x)
         left, right = F.get(xs, i - 1), F.get(xs, i)
         inside = 0.01 + step * (i - 1) + step * (x - left) / (right - left)
         return (

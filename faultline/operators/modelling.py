@@ -1,6 +1,11 @@
 """Preprocessing, classifiers, calibration, screening and experiments on Spark ML."""
 
+import hashlib
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -9,7 +14,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.stat import Correlation
 from pyspark.sql import functions as F
 
-from faultline.operators import evaluation
+from faultline.operators import evaluation, experiments, folds
 from faultline.operators.features import GROUPS
 from faultline.operators.running import hash_level, ranked
 from faultline.operators.scoring import clip_probability, risk_tier
@@ -27,7 +32,7 @@ def preprocessor(train, columns):
     gaps = train.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
     flagged = [c for c in columns if gaps[c] > 0]
     stages = [
-        Imputer(strategy="median", inputCols=columns, outputCols=[f"{c}__filled" for c in columns]),
+        Imputer(strategy="median", relativeError=0.0, inputCols=columns, outputCols=[f"{c}__filled" for c in columns]),
         VectorAssembler(inputCols=[f"{c}__filled" for c in columns] + [f"{c}__missing" for c in flagged], outputCol="raw_features"),
         StandardScaler(withMean=True, withStd=True, inputCol="raw_features", outputCol="features"),
     ]
@@ -104,7 +109,7 @@ def calibrate_sigmoid(held_out, p="p", label=LABEL):
     fit_on = assemble.transform(held_out.withColumn("_margin", _logit(F.col(p))))
     model = LogisticRegression(featuresCol="_vector", labelCol=label, maxIter=50).fit(fit_on)
     slope, intercept = float(model.coefficients[0]), float(model.intercept)
-    return lambda df: df.withColumn("calibrated", 1.0 / (1.0 + F.exp(-(F.lit(slope) * _logit(F.col(p)) + intercept))))
+    return lambda df, p=p: df.withColumn("calibrated", 1.0 / (1.0 + F.exp(-(F.lit(slope) * _logit(F.col(p)) + intercept))))
 
 
 def calibrate_isotonic(held_out, p="p", label=LABEL):
@@ -120,75 +125,125 @@ def group_columns(df, group, removed=()):
     return [c for c in GROUPS[group] if c in df.columns and c not in set(removed)]
 
 
-def temporal_frames(df, n_folds=10, file="canonical_file_id"):
-    """(fold, train, test) by the boundaries of folds.temporal_folds, as filters on the rows."""
-    seen = df.withColumn("_ts", F.unix_timestamp("commit_date"))
-    first = seen.groupBy(file).agg(F.min("_ts").alias("_first"))
-    rows = seen.join(first, file)
-    span = seen.agg(F.min("_ts").alias("lo"), F.max("_ts").alias("hi")).first()
+def temporal_rows(df, n_folds=10, file="canonical_file_id", min_train=folds.MIN_TRAIN, min_test=folds.MIN_TEST):
+    """df with the folds that each row trains and tests in (lo, hi, hole, test_fold), and their number; raises where a fold is too
+    small, shares a file between its sides or tests no later than it trains."""
+    rows = materialize(folds.fold_intervals(df, n_folds, file), "folds")
+    folds.require_clean(folds.interval_checks(rows, file, min_train, min_test), "temporal folds")
+    n = rows.agg(F.max("n_folds")).first()[0] or 0
+    member = rows.withColumns({"lo": F.col("train_from"), "hi": F.lit(n), "hole": F.lit(-1), "_key": F.col("test_fold").cast("string")})
+    return member.drop("ts", "train_from", "n_folds"), {str(f): f for f in range(n)}
 
-    def boundary(i):
-        return span["lo"] + (span["hi"] - span["lo"]) * i / n_folds
 
-    for i in range(n_folds - 1):
-        cut, end = boundary(i + 1), boundary(i + 2)
-        yield i, rows.where(F.col("_ts") <= cut), rows.where((F.col("_ts") > cut) & (F.col("_ts") <= end) & (F.col("_first") > cut))
+def lopo_rows(df, min_train=folds.MIN_TRAIN, min_test=folds.MIN_TEST):
+    """df with the same columns, a fold for each repository that others are left to train for; raises where one is too small."""
+    sizes = folds.lopo_folds(df).orderBy("held_out").collect()  # a row for each repository
+    small = [r["held_out"] for r in sizes if r["train_rows"] < min_train or r["test_rows"] < min_test]
+    if small:
+        raise ValueError(f"lopo folds: too small in {small[:5]}")
+    names = {r["held_out"]: f for f, r in enumerate(sizes)}
+    table = df.sparkSession.createDataFrame(list(names.items()), "repo string, test_fold int")
+    rows = df.join(table, "repo").withColumns({"lo": F.lit(0), "hi": F.lit(len(names)), "hole": F.col("test_fold"), "_key": F.col("repo")})
+    return materialize(rows, "folds"), names
 
 
-def lopo_frames(df):
-    """(repo, train, test) per repository; the repository names are the only values on the driver."""
-    for r in df.select("repo").distinct().orderBy("repo").toLocalIterator():
-        yield r["repo"], df.where(F.col("repo") != r["repo"]), df.where(F.col("repo") == r["repo"])
+#: Fits that run at the same time.
+POOL = 4
 
 
-def _run(frames, regime, name, group, columns, overrides):
-    """Scores of every fold, labelled by fold; one fit per fold, evaluated together later."""
-    out = None
-    for key, train_rows, test_rows in frames:
-        if test_rows.isEmpty():
-            continue
-        scored = train(train_rows, columns, name, **overrides).score(test_rows).select(
-            F.lit(regime).alias("regime"), F.lit(name).alias("model"), F.lit(group).alias("feature_group"),
-            F.lit(str(key)).alias("key"), F.col(LABEL).alias("y"), "p",
-        )
-        out = scored if out is None else out.unionByName(scored)
-    return out
+def _tree_scores(rows, n_folds, columns, name, overrides):
+    """Scores of every fold, a fit for each, POOL at a time on one written table."""
+    def one(fold):
+        trained = rows.where((F.col("lo") <= fold) & (F.col("hi") > fold) & (F.col("hole") != fold))
+        fitted = train(trained, columns, name, **overrides)
+        scored = fitted.score(rows.where(F.col("test_fold") == fold)).select("_key", F.col("test_fold").alias("fold"), F.col(LABEL).cast("double").alias("y"), "p")
+        return materialize(scored, "fold-scores")
+
+    with ThreadPoolExecutor(POOL) as pool:
+        parts = list(pool.map(inheritable_thread_target(rows.sparkSession)(one), range(n_folds)))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def fold_scores(rows, n_folds, columns, name, overrides):
+    """(_key, fold, y, p): every test row scored by the model of its fold."""
+    if not n_folds:
+        return rows.sparkSession.createDataFrame([], "_key string, fold int, y double, p double")
+    if name != "logistic_regression":
+        return _tree_scores(rows, n_folds, columns, name, overrides)
+    table, flagged, scales = experiments.prepared(rows, columns, ["_key"])
+    fitted = experiments.fit(table, flagged, scales, columns, n_folds, overrides.get("regParam", experiments.PENALTY))
+    return experiments.scores(table, fitted, ["_key"])
 
 
 KEYS = ["regime", "model", "feature_group", "key"]
 
 
-def run_temporal_cv(df, name, group, n_folds=10, file="canonical_file_id", **overrides):
-    df = materialize(df, "folds")
-    scores = _run(temporal_frames(df, n_folds, file), "temporal_cv", name, group, group_columns(df, group), overrides)
-    return evaluation.fold_metrics(scores, KEYS)
+def _evaluated(scored, regime, name, group):
+    return evaluation.fold_metrics(
+        scored.select(F.lit(regime).alias("regime"), F.lit(name).alias("model"), F.lit(group).alias("feature_group"), F.col("_key").alias("key"), "y", "p"), KEYS
+    )
 
 
-def run_lopo(df, name, group, **overrides):
-    df = materialize(df, "folds")
-    scores = _run(lopo_frames(df), "lopo", name, group, group_columns(df, group), overrides)
-    return evaluation.fold_metrics(scores, KEYS)
+def run_temporal_cv(df, name, group, n_folds=10, file="canonical_file_id", min_train=folds.MIN_TRAIN, min_test=folds.MIN_TEST, **overrides):
+    """Metrics of each time-ordered fold: (regime, model, feature_group, key, pr_auc, ...); the folds are checked first."""
+    rows, names = temporal_rows(df, n_folds, file, min_train, min_test)
+    return _evaluated(fold_scores(rows, len(names), group_columns(df, group), name, overrides), "temporal_cv", name, group)
 
 
-def run_all(df, names, groups, n_folds=10, file="canonical_file_id", overrides=None):
-    """Every model on every group in both regimes: one long results table."""
-    df = materialize(df, "experiment")
-    out = None
+def run_lopo(df, name, group, min_train=folds.MIN_TRAIN, min_test=folds.MIN_TEST, **overrides):
+    """Metrics of each repository by models of all others; the folds are checked first."""
+    rows, names = lopo_rows(df, min_train, min_test)
+    return _evaluated(fold_scores(rows, len(names), group_columns(df, group), name, overrides), "lopo", name, group)
+
+
+def run_all(df, names, groups, n_folds=10, file="canonical_file_id", overrides=None, min_train=folds.MIN_TRAIN, min_test=folds.MIN_TEST):
+    """Every model on every group in both regimes: one long results table. Each regime's folds are made, checked and written once."""
+    regimes = {"temporal_cv": temporal_rows(df, n_folds, file, min_train, min_test), "lopo": lopo_rows(df, min_train, min_test)}
+    parts = []
     for name in names:
-        extra = (overrides or {}).get(name, {})
         for group in groups:
-            for part in (run_temporal_cv(df, name, group, n_folds, file, **extra), run_lopo(df, name, group, **extra)):
-                out = part if out is None else out.unionByName(part)
-    return out
+            for regime, (rows, keys) in regimes.items():
+                scored = fold_scores(rows, len(keys), group_columns(df, group), name, (overrides or {}).get(name, {}))
+                parts.append(materialize(_evaluated(scored, regime, name, group), "results"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
 
+class Calibrated:
+    """The mean of several fits, each with its own sigmoid."""
 
-def tune(df, columns, name, grid, n_folds=4, file="canonical_file_id"):
+    def __init__(self, fits):
+        self.fits = fits
+
+    def score(self, df, out="p"):
+        """Add the calibrated probability of the positive class."""
+        scored = df
+        for k, (fitted, calibrate) in enumerate(self.fits):
+            scored = calibrate(fitted.score(scored, "_p"), "_p").withColumnRenamed("calibrated", f"_p{k}").drop("_p")
+        mean = reduce(lambda a, b: a + b, [F.col(f"_p{k}") for k in range(len(self.fits))]) / len(self.fits)
+        return scored.withColumn(out, mean).select(*df.columns, out)
+
+
+def refit_best(df, results, key, overrides=None, parts=2):
+    """(model, feature group, Calibrated): the configuration of highest mean PR-AUC, fitted on all rows but a part, and its sigmoid on that
+    part, for each of `parts` parts by a hash of `key`."""
+    best = evaluation.best_config(results).first()
+    name, columns = best["model"], group_columns(df, best["feature_group"])
+    place = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key])), 1, 8), 16, 10).cast("long"), F.lit(parts))
+    dealt = materialize(df.withColumn("_part", place), "refit")
+    fits = []
+    for k in range(parts):
+        fitted = train(dealt.where(F.col("_part") != k), columns, name, **(overrides or {}).get(name, {}))
+        fits.append((fitted, calibrate_sigmoid(fitted.score(dealt.where(F.col("_part") == k)))))
+    return name, best["feature_group"], Calibrated(fits)
+
+
+def tune(df, columns, name, grid, n_folds=4, file="canonical_file_id", min_train=folds.MIN_TRAIN, min_test=folds.MIN_TEST):
     """Mean PR-AUC over time-ordered folds for each setting of a small grid, best first."""
-    df = materialize(df, "tune")
+    rows, names = temporal_rows(df, n_folds, file, min_train, min_test)
     out = None
-    for i, setting in enumerate(grid):
-        scores = _run(temporal_frames(df, n_folds, file), "tune", name, str(i), columns, setting)
-        table = evaluation.average_precision(scores.select("key", "y", "p"), ["key"]).agg(F.avg("pr_auc").alias("mean_pr_auc"))
+    for setting in grid:
+        scored = fold_scores(rows, len(names), columns, name, setting)
+        table = evaluation.average_precision(scored.select("_key", "y", "p"), ["_key"]).agg(F.avg("pr_auc").alias("mean_pr_auc"))
         row = table.select(F.lit(str(setting)).alias("setting"), "mean_pr_auc")
         out = row if out is None else out.unionByName(row)
     return out.orderBy(F.desc("mean_pr_auc"), "setting")
@@ -268,32 +323,68 @@ def linear_contributions(df, coefficients):
     return placed.select(F.inline(F.array(*parts))).groupBy("feature").agg(F.avg("v").alias("importance"))
 
 
-def shuffled(df, column, key, seed=42):
-    """df with one column permuted: each row takes the value of the row at its place in another hash order."""
-    ident = F.concat_ws("|", *[F.col(k).cast("string") for k in key])
-    a = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}a|"), ident)))
-    b = df.select(*key, F.col(column).alias("_value")).withColumn("_h", F.md5(F.concat(F.lit(f"{seed}b|"), ident)))
-    left = ranked(a, [], [hash_level(F.col("_h"))], ["_h", *key], "_place").drop("_h")
-    right = ranked(b, [], [hash_level(F.col("_h"))], ["_h", *key], "_place").select("_place", "_value")
-    return left.join(right, "_place").withColumn(column, F.col("_value")).select(*df.columns)
+class LinearScore:
+    """A given linear score in place of a fitted model."""
 
+    def __init__(self, weights):
+        self.weights, self.columns = weights, list(weights)
+
+    def score(self, df, out="p"):
+        return df.withColumn(out, reduce(lambda a, b: a + b, [F.col(c).cast("double") * F.lit(float(w)) for c, w in self.weights.items()]))
 
-def permutation_importance(fitted, df, key, columns=None):
-    """Loss of PR-AUC when a feature is shuffled, per feature."""
-    df = materialize(df, "permute")
-    base = evaluation.average_precision(fitted.score(df), [], y=LABEL).withColumnRenamed("pr_auc", "base").scalar()
-    out = None
-    for c in columns or fitted.columns:
-        hit = evaluation.average_precision(fitted.score(shuffled(df, c, key)), [], y=LABEL)
-        row = hit.select(F.lit(c).alias("feature"), (base - F.col("pr_auc")).alias("importance"))
-        out = row if out is None else out.unionByName(row)
-    return out
 
+def shifts(columns, n, seed=42):
+    """How far each column moves along the numbered rows: 1 to n - 1, from md5("seed|column")."""
+    return {c: 1 + int(hashlib.md5(f"{seed}|{c}".encode()).hexdigest()[:8], 16) % (n - 1) if n > 1 else 0 for c in columns}
 
-def score_batch(features, fitted, heuristic):
-    """Clipped probability, tier and engine per row; rows the model cannot score keep the heuristic."""
-    scored = fitted.score(features, "_ml") if fitted is not None else features.withColumn("_ml", F.lit(None).cast("double"))
+
+def shuffled(df, columns, key, seed=42):
+    """df with `_shuffled`, a struct of the columns' values from other rows, each column permuted by itself.
+
+    Rows are numbered once, in the order of md5("seed|key"), a random one; a column's values move along that order by a distance of
+    its own, around the end. So one numbering and one exchange shuffle all columns, every value goes to one row, and
+    none stays where it was. `key` must tell the rows apart.
+    """
+    ident = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key])
+    hashed = df.withColumn("_h", F.md5(ident))
+    numbered = materialize(ranked(hashed, [], [hash_level(F.col("_h"))], ["_h", *key], "_place").drop("_h"), "numbered")
+    n = numbered.count()
+    by = shifts(columns, n, seed)
+    gifts = F.array(*[F.struct(F.lit(i).alias("i"), F.pmod(F.col("_place") - by[c], F.lit(max(1, n))).alias("to"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])
+    taken = numbered.select(F.inline(gifts)).groupBy("to").agg(F.struct(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(c) for i, c in enumerate(columns)]).alias("_shuffled"))
+    return numbered.join(taken, F.pmod(F.col("_place"), F.lit(max(1, n))) == F.col("to")).select(*df.columns, "_shuffled")
+
+
+def permutation_importance(fitted, df, key, columns=None, seed=42):
+    """Loss of PR-AUC when a feature is shuffled, per feature. Rows are written out once for each feature, the shuffled value in its
+    place, and all are scored in one pass."""
+    columns = list(columns or fitted.columns)
+    rows = shuffled(df, columns, key, seed)
+    cases = [F.struct(F.lit(c).alias("feature"), *[(F.col("_shuffled")[x] if x == c else F.col(x).cast("double")).alias(x) for x in fitted.columns]) for c in ("", *columns)]
+    scored = fitted.score(rows.select(LABEL, F.inline(F.array(*cases))))
+    areas = materialize(evaluation.average_precision(scored, ["feature"], y=LABEL), "importance")
+    base = areas.where("feature = ''").select("pr_auc").scalar()
+    return areas.where("feature <> ''").select("feature", (base - F.col("pr_auc")).alias("importance"))
+
+
+def score_batch(features, models, heuristic):
+    """Clipped probability, tier and engine of each row, in one pass.
+
+    `engine` says which of `models`, a map from engine to fitted model, a row goes to: each model adds its score and the row's engine
+    picks. A row whose engine has no model goes to the static one, and without that, or without a score, keeps the heuristic.
+    """
+    scored, names = features, {}
+    for name, fitted in models.items():
+        names[name] = f"_ml_{name}"
+        scored = fitted.score(scored, names[name])
+    used, value = F.lit("heuristic_fallback"), F.lit(None).cast("double")
+    if "static" in names:
+        used, value = F.lit("static"), F.col(names["static"])
+    for name in names:
+        if name != "static":
+            own = F.col("engine") == name
+            used, value = F.when(own, name).otherwise(used), F.when(own, F.col(names[name])).otherwise(value)
+    scored = scored.withColumns({"_ml": value, "_used": F.when(value.isNull(), "heuristic_fallback").otherwise(used)})
     risk = F.round(clip_probability(F.coalesce(F.col("_ml"), heuristic)), 4)
-    return scored.withColumn("risk_probability", risk).withColumn("risk_tier", risk_tier(F.col("risk_probability"))).withColumn(
-        "engine", F.when(F.col("_ml").isNull(), "heuristic_fallback").otherwise("static")
-    ).drop("_ml")
+    scored = scored.withColumn("risk_probability", risk).withColumn("risk_tier", risk_tier(F.col("risk_probability")))
+    return scored.withColumn("engine", F.col("_used")).drop("_ml", "_used", *names.values())

@@ -3,7 +3,6 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from faultline.functions.files import badge_of
 from faultline.operators.scoring import icon_of, risk_tier
 
 # Advice per rule set and smell: flag, smell, title, severity, action.
@@ -219,7 +218,3 @@ def sarif_lines(found, tool="faultline", version="1.0.0"):
         )),
     )
     return body.unionByName(ends)
-
-
-def badge_column(language):
-    return badge_of(language)

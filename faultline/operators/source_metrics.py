@@ -1,12 +1,15 @@
-"""Source metrics, computed row by row with array functions: no shuffle and no Python.
-
-Sources above the size cap are dropped by the caller (snapshots.cap_size), so one
-row's work has a fixed bound however skewed the repositories are.
+"""Source metrics, computed row by row: no shuffle. Array functions do all but the matching of blocks, which is one Arrow function
+that passes over a text once. Work grows with the length of a text; snapshots.cap_size drops large ones where that is wanted.
 """
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from faultline.functions import languages as lang
+from faultline.functions.blocks import blocks
 from faultline.functions.files import language_of
 
 
@@ -131,6 +134,11 @@ def strip_comments(source):
     return F.regexp_replace(F.regexp_replace(source, r"(?s)/\*.*?\*/", " "), r"//.*", "")
 
 
+def strip_by_language(source):
+    """Comments taken out by the markers of the language column: # to the end of the line, or block and // comments."""
+    return F.when(F.col("language").isin("python", "ruby"), F.regexp_replace(source, r"#.*", "")).otherwise(strip_comments(source))
+
+
 def strip_strings(text):
     # possessive runs: a long literal must not recurse in the matcher
     return F.regexp_replace(text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', '""')
@@ -194,8 +202,8 @@ def _parameters():
 
 def function_profile(profiled):
     """function_count, average and maximum parameters and sizes; needs sloc and language."""
-    params = F.when(F.col("language") == "python", _python_params(F.col("source"))).otherwise(_parameters())
-    counted = profiled.withColumn("_params", params).withColumn("function_count", F.size("_params"))
+    params = F.when(F.col("language") == "python", F.col("_found.params")).otherwise(_parameters())
+    counted = with_blocks(profiled).withColumn("_params", params).withColumn("function_count", F.size("_params"))
     n = F.col("function_count")
     average_size = F.when(n > 0, F.round(F.col("sloc") / n, 1)).otherwise(0.0)
     total = F.aggregate("_params", F.lit(0), lambda a, x: a + x)
@@ -206,37 +214,20 @@ def function_profile(profiled):
     )
 
 
-def _python_params(source):
-    return F.transform(F.regexp_extract_all(source, F.lit(lang.PYTHON_PARAMS), F.lit(1)), _parameter_count)
+_FOUND = StructType([StructField(name, ArrayType(IntegerType())) for name in ("sizes", "complexity", "params", "class_sizes")])
 
 
-def indented_spans(lines, header):
-    """Spans struct<start_line, size> of blocks whose header matches, up to the last line indented deeper.
+@F.pandas_udf(_FOUND)
+def _blocks(language: pd.Series, text: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([blocks(*row) for row in zip(language, text)], columns=_FOUND.names)
 
-    One pass keeps the open blocks; a line closes those indented at least as much.
-    """
-    numbered = F.transform(lines, lambda x, i: F.struct(x.alias("text"), (i + 1).alias("no")))
-    zero = F.struct(
-        F.array().cast("array<struct<indent:int,start:int>>").alias("open"),
-        F.array().cast("array<struct<start_line:int,size:int>>").alias("done"),
-        F.lit(0).alias("last"),
-    )
 
-    def closed(blocks, last):
-        return F.transform(blocks, lambda b: F.struct(b["start"].alias("start_line"), (last - b["start"] + 1).alias("size")))
-
-    def step(a, line):
-        indent = indent_width(line["text"])
-        kept = F.filter(a["open"], lambda b: b["indent"] < indent)
-        shut = F.filter(a["open"], lambda b: b["indent"] >= indent)
-        opened = F.when(
-            line["text"].rlike(header), F.concat(kept, F.array(F.struct(indent.alias("indent"), line["no"].alias("start"))))
-        ).otherwise(kept)
-        return F.when(_blank(line["text"]), a).otherwise(
-            F.struct(opened.alias("open"), F.concat(a["done"], closed(shut, a["last"])).alias("done"), line["no"].alias("last"))
-        )
-
-    return F.aggregate(numbered, zero, step, lambda a: F.concat(a["done"], closed(a["open"], a["last"])))
+def with_blocks(sources):
+    """Add `_found`: sizes, complexities and parameters of the functions and sizes of the classes of Python and Java files, by
+    indentation and by braces, in one pass over each text; needs language. Other languages have none."""
+    java = F.when(F.col("language") == "java", strip_comments(F.col("source")))
+    text = F.when(F.col("language") == "python", F.col("source")).otherwise(java)
+    return sources.withColumn("_found", _blocks(F.col("language"), text))
 
 
 def python_blocks(lines):
@@ -287,46 +278,10 @@ def python_blocks(lines):
     return F.aggregate(lines, zero, step, lambda a: F.struct(a["nesting"].alias("nesting"), a["cognitive"].alias("cognitive")))
 
 
-def braced_spans(source):
-    """Line counts of the method bodies of C-like text, from each opening brace to its match."""
-    clean = strip_comments(source)
-    heads = F.regexp_extract_all(clean, F.lit("(?U)" + lang.JAVA_METHOD), F.lit(0))
-    gaps = F.split(clean, "(?U)" + lang.JAVA_METHOD, -1)
-    # where each body starts: just after the text of all gaps and heads up to its own brace
-    parts = F.arrays_zip(heads.alias("h"), F.slice(gaps, F.lit(1), F.size(heads)).alias("g"))
-    starts = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("list")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["g"]) + F.length(x["h"])).alias("at"),
-            F.concat(a["list"], F.array(a["at"] + F.length(x["g"]) + F.length(x["h"]))).alias("list"),
-        ),
-        lambda a: a["list"],
-    )
-
-    def size(start):
-        pieces = F.regexp_extract_all(F.substring(clean, start, F.length(clean)), F.lit(r"[^{}]*+[{}]"), F.lit(0))
-        zero = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("done"), F.lit(0).alias("breaks"))
-
-        def step(a, piece):
-            depth = a["depth"] + F.when(piece.endswith("{"), 1).otherwise(-1)
-            return F.when(a["done"], a).otherwise(
-                F.struct(depth.alias("depth"), (depth == 0).alias("done"), (a["breaks"] + F.regexp_count(piece, F.lit(r"\R"))).alias("breaks"))
-            )
-
-        # an unclosed body keeps the line of its brace only
-        return F.aggregate(pieces, zero, step, lambda a: F.when(a["done"], a["breaks"] + 1).otherwise(1))
-
-    return F.transform(starts, size)
-
-
 def function_spans(sources):
     """Rows (repo, file_path, ordinal, size): functions of Python files by indentation, of Java files by braces."""
-    tagged = with_language(sources)
-    sizes = F.when(
-        F.col("language") == "python", F.transform(F.array_sort(indented_spans(lines_of(F.col("source")), lang.PYTHON_DEF)), lambda s: s["size"])
-    ).when(F.col("language") == "java", braced_spans(F.col("source"))).otherwise(F.array().cast("array<int>"))
-    return tagged.select("repo", "file_path", F.posexplode(sizes).alias("ordinal", "size"))
+    found = with_blocks(with_language(sources))
+    return found.select("repo", "file_path", F.posexplode("_found.sizes").alias("ordinal", "size"))
 
 
 def class_count():
@@ -349,12 +304,13 @@ def declarations(sources):
 
 
 def with_halstead(df):
-    """Halstead volume, difficulty, effort and bugs of the cleaned text."""
-    clean = strip_strings(strip_comments(F.col("source")))
-    counted = df.withColumn("_ops", F.regexp_extract_all(clean, F.lit(lang.OPERATORS), F.lit(0))).withColumn(
-        "_ids",
-        F.filter(F.regexp_extract_all(clean, F.lit("(?U)" + lang.IDENTIFIERS), F.lit(0)), lambda w: ~w.isin(lang.JAVA_KEYWORDS)),
-    )
+    """Halstead volume, difficulty, effort and bugs of the text without comments and strings; operands are names that are no
+    keywords, of Python in Python files and of Java in all others."""
+    tagged = df if "language" in df.columns else with_language(df)
+    clean = strip_strings(strip_by_language(F.col("source")))
+    words = F.regexp_extract_all(clean, F.lit("(?U)" + lang.IDENTIFIERS), F.lit(0))
+    names = F.when(F.col("language") == "python", F.filter(words, lambda w: ~w.isin(lang.PYTHON_KEYWORDS))).otherwise(F.filter(words, lambda w: ~w.isin(lang.JAVA_KEYWORDS)))
+    counted = tagged.withColumn("_ops", F.regexp_extract_all(clean, F.lit(lang.OPERATORS), F.lit(0))).withColumn("_ids", names)
     sized = counted.select(
         *df.columns, F.size("_ops").alias("_operators"), F.size("_ids").alias("_operands"),
         F.size(F.array_distinct("_ops")).alias("_own_operators"), F.size(F.array_distinct("_ids")).alias("_own_operands"),
@@ -396,28 +352,22 @@ def cognitive_complexity(source):
 def code_metrics(sources):
     """The metric columns used by smell rules and scoring, for any language.
 
-    Python and Java files carry per-function and per-class sizes; other languages
-    have the averages of function_profile only.
+    Python and Java files carry sizes, complexities and parameters of every function, Python files also sizes of classes; other
+    languages have the averages of function_profile only.
     """
-    profiled = function_profile(comment_profile(sources))
+    profiled = with_blocks(function_profile(comment_profile(sources)))
     lines = lines_of(F.col("source"))
     python, java = F.col("language") == "python", F.col("language") == "java"
-    function_sizes = (
-        F.when(python, F.transform(indented_spans(lines, lang.PYTHON_DEF), lambda s: s["size"]))
-        .when(java, braced_spans(F.col("source")))
-        .otherwise(F.array().cast("array<int>"))
-    )
-    class_sizes = F.when(python, F.transform(indented_spans(lines, lang.PYTHON_CLASS), lambda s: s["size"])).otherwise(
-        F.array().cast("array<int>")
-    )
-    java_params = F.transform(
-        F.regexp_extract_all(strip_comments(F.col("source")), F.lit("(?U)" + lang.JAVA_METHOD), F.lit(2)), _parameter_count
-    )
-    param_counts = F.when(python, _python_params(F.col("source"))).when(java, java_params).otherwise(F.array().cast("array<int>"))
-    complexity = (
-        F.when(python, 1 + F.regexp_count(F.regexp_replace("source", r"(?m)#.*$", ""), F.lit(lang.PYTHON_BRANCH)))
-        .when(java, 1 + F.regexp_count(strip_comments(F.col("source")), F.lit("(?U)" + lang.JAVA_DECISION)))
-        .otherwise(F.col("cyclomatic_complexity"))
+    sizes, each = F.col("_found.sizes"), F.col("_found.complexity")
+    exact = (python | java) & (F.size(sizes) > 0)
+    mean = lambda a: F.round(F.aggregate(a, F.lit(0), lambda n, x: n + x) / F.size(a), 2)
+    # Java's greatest complexity is the file's, as the text rules have it; its mean is shared out over the methods
+    whole = 1 + F.regexp_count(strip_comments(F.col("source")), F.lit("(?U)" + lang.JAVA_DECISION))
+    complexity = F.when(python, F.coalesce(F.array_max(each), F.lit(0))).when(java, whole).otherwise(F.col("cyclomatic_complexity"))
+    average = (
+        F.when(python, F.when(F.size(each) > 0, mean(each)).otherwise(0.0))
+        .when(java, F.round(whole / F.greatest(F.size(sizes), F.lit(1)), 2))
+        .otherwise(F.col("cyclomatic_complexity").cast("double"))
     )
     nesting = (
         F.when(python, F.col("_blocks.nesting"))
@@ -426,18 +376,23 @@ def code_metrics(sources):
     )
     profiled = profiled.withColumn("_blocks", F.when(python, python_blocks(lines)))
     wide = with_halstead(
-        profiled.withColumn("function_sizes", function_sizes)
-        .withColumn("class_sizes", class_sizes)
-        .withColumn("param_counts", param_counts)
+        profiled.withColumn("function_sizes", sizes)
+        .withColumn("class_sizes", F.col("_found.class_sizes"))
+        .withColumn("param_counts", F.col("_found.params"))
+        .withColumn("function_complexities", each)
         .withColumn("max_cyclomatic_complexity", complexity)
+        .withColumn("avg_cyclomatic_complexity", average)
+        .withColumn("max_function_size", F.when(exact, F.array_max(sizes)).otherwise(F.col("max_function_size")))
+        .withColumn("avg_function_size", F.when(exact, mean(sizes)).otherwise(F.col("avg_function_size")))
+        .withColumn("max_class_size", F.coalesce(F.array_max("_found.class_sizes"), F.lit(0)))
         .withColumn("max_nesting_depth", nesting)
         .withColumn("class_count", class_count())
         .withColumn("import_count", import_count())
         .withColumn("cognitive_complexity", F.when(python, F.col("_blocks.cognitive")).otherwise(cognitive_complexity(F.col("source"))))
-        .drop("_blocks")
+        .drop("_blocks", "_found")
     )
     return wide.withColumn(
-        "maintainability_index", maintainability_index(F.col("halstead_volume"), F.col("max_cyclomatic_complexity"), F.col("loc"))
+        "maintainability_index", maintainability_index(F.col("halstead_volume"), F.col("avg_cyclomatic_complexity"), F.col("loc"))
     )
 
 
@@ -447,14 +402,8 @@ SMELL_FLAGS = ["has_long_method", "has_long_param_list", "has_large_class", "has
 SMELL_COUNTS = ["long_method_count", "long_param_count", "large_class_count", "deep_nesting_count", "high_complexity_count"]
 
 
-def smell_flags(metrics, ruleset="python", thresholds=None):
-    """Add the five flags, five counts and the total under one of three rule sets.
-
-    python: a threshold is reached (>=), the total adds counts.
-    java: a threshold is passed (>), the total adds flags, class size is lines per class.
-    polyglot: fixed mixed rules on averages, counts equal flags.
-    """
-    t = {**THRESHOLDS, **(thresholds or {})}
+def _smell_counts(ruleset, t):
+    """The five smell counts under a rule set, as columns."""
 
     def number(array, test):
         return F.size(F.filter(F.col(array), test))
@@ -463,33 +412,58 @@ def smell_flags(metrics, ruleset="python", thresholds=None):
         return condition.cast("int")
 
     if ruleset == "python":
-        counts = [
+        return [
             number("function_sizes", lambda s: s >= t["long_method"]),
             number("param_counts", lambda p: p >= t["long_param"]),
             number("class_sizes", lambda s: s >= t["large_class"]),
             one(F.col("max_nesting_depth") >= t["deep_nesting"]),
             one(F.col("max_cyclomatic_complexity") >= t["high_complexity"]),
         ]
-    elif ruleset == "java":
+    if ruleset == "java":
         per_class = F.col("loc") / F.greatest(F.col("class_count"), F.lit(1))
-        counts = [
+        return [
             number("function_sizes", lambda s: s > t["long_method"]),
             number("param_counts", lambda p: p > t["long_param"]),
             one(per_class > t["large_class"]),
             one(F.col("max_nesting_depth") > t["deep_nesting"]),
             one(F.col("max_cyclomatic_complexity") > t["high_complexity"]),
         ]
-    else:
-        counts = [
-            one((F.col("avg_function_size") > 35) | (F.col("max_function_size") > 45)),
-            one(F.col("max_param_count") >= 5),
-            one(((F.col("class_count") <= 2) & (F.col("sloc") > 250)) | (F.col("sloc") > 400)),
-            one(F.col("max_nesting_depth") >= 4),
-            one(F.col("cyclomatic_complexity") >= 15),
-        ]
+    return [
+        one((F.col("avg_function_size") > 35) | (F.col("max_function_size") > 45)),
+        one(F.col("max_param_count") >= 5),
+        one(((F.col("class_count") <= 2) & (F.col("sloc") > 250)) | (F.col("sloc") > 400)),
+        one(F.col("max_nesting_depth") >= 4),
+        one(F.col("cyclomatic_complexity") >= 15),
+    ]
+
+
+def _flagged(metrics, counts, adds_counts):
+    """Counts, flags and total; `adds_counts` says whether the total adds counts, else flags."""
     counted = metrics.select("*", *[c.alias(n) for c, n in zip(counts, SMELL_COUNTS)])
     flagged = counted.select("*", *[(F.col(c) > 0).cast("int").alias(f) for c, f in zip(SMELL_COUNTS, SMELL_FLAGS)])
-    total = F.lit(0)
-    for name in SMELL_COUNTS if ruleset == "python" else SMELL_FLAGS:
-        total = total + F.col(name)
-    return flagged.withColumn("total_smells", total)
+    add = lambda names: reduce(lambda a, b: a + b, [F.col(n) for n in names])
+    return flagged.withColumn("total_smells", F.when(adds_counts, add(SMELL_COUNTS)).otherwise(add(SMELL_FLAGS)))
+
+
+def smell_flags(metrics, ruleset="python", thresholds=None):
+    """Add the five flags, five counts and the total under one of three rule sets.
+
+    python: a threshold is reached (>=), the total adds counts.
+    java: a threshold is passed (>), the total adds flags, class size is lines per class.
+    polyglot: fixed mixed rules on averages, counts equal flags.
+    """
+    return _flagged(metrics, _smell_counts(ruleset, {**THRESHOLDS, **(thresholds or {})}), F.lit(ruleset == "python"))
+
+
+def ruleset_of(language):
+    """The rule set of a language: Python and Java have their own, all others share one."""
+    return F.when(language == "python", "python").when(language == "java", "java").otherwise("polyglot")
+
+
+def smell_flags_by_language(metrics, thresholds=None):
+    """smell_flags with each row's own rule set, in one pass; adds `ruleset`."""
+    t = {**THRESHOLDS, **(thresholds or {})}
+    ruled = metrics.withColumn("ruleset", ruleset_of(F.col("language")))
+    own = zip(*[_smell_counts(r, t) for r in ("python", "java", "polyglot")])
+    counts = [F.when(F.col("ruleset") == "python", a).when(F.col("ruleset") == "java", b).otherwise(c) for a, b, c in own]
+    return _flagged(ruled, counts, F.col("ruleset") == "python")

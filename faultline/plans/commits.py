@@ -25,9 +25,9 @@ SWEEP = [0.2, 0.3, 0.4, 0.5, 0.6, 0.8]
     "commit_score_threshold_sweep", "C",
     f"""{SCORED}
 SELECT threshold, count(*) AS commits,
-       count(*) FILTER (score >= threshold AND NOT noise_dominated) AS positives,
-       count(*) FILTER (score >= threshold AND NOT noise_dominated) / count(*) AS positive_rate
-FROM scored, (SELECT unnest([{', '.join(f'{x}::DOUBLE' for x in SWEEP)}]) AS threshold) GROUP BY threshold""",
+       count(*) FILTER (raw >= threshold AND NOT noise_dominated) AS positives,
+       count(*) FILTER (raw >= threshold AND NOT noise_dominated) / count(*) AS positive_rate
+FROM (SELECT *, greatest(0e0, least(1e0, 0.20::DOUBLE * k + 0.15::DOUBLE * i + 0.25::DOUBLE * s - 0.15::DOUBLE * n)) AS raw FROM scored), (SELECT unnest([{', '.join(f'{x}::DOUBLE' for x in SWEEP)}]) AS threshold) GROUP BY threshold""",
 )
 def commit_score_threshold_sweep(c):
     return op.threshold_sweep(c, SWEEP)

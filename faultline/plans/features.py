@@ -175,6 +175,24 @@ def ownership_features(sn, fc):
     )
 
 
+OWNED = ["contributor_annual_rate", "complexity_churn_interaction"]
+
+
+@query(
+    "ownership_ranks", "SN FC",
+    f"""{FCS}, {HIST},
+o AS (SELECT s.repo, s.file_path, s.commit_id, s.commit_date, authors * 365e0 / greatest(age, 1e0) AS contributor_annual_rate, code_max_cyclomatic_complexity * commits AS complexity_churn_interaction
+  FROM sn_snapshots s JOIN h USING (repo, file_path, commit_id))
+SELECT a.repo, a.file_path, a.commit_id, """
+    + ", ".join(f"count(*) FILTER (b.{c} <= a.{c}) / count(*)::DOUBLE AS rank_{c}" for c in OWNED)
+    + " FROM o a JOIN o b ON a.repo = b.repo AND b.commit_date <= a.commit_date GROUP BY 1, 2, 3",
+)
+def ownership_ranks(sn, fc):
+    """Ranks of the ownership columns among the repository's snapshots so far."""
+    owned = op.ownership_features(with_history(sn, fc)).select(*ROW, "commit_date", *OWNED)
+    return op.causal_rank(owned, OWNED).select(*ROW, *[f"rank_{c}" for c in OWNED])
+
+
 @query(
     "feature_project", "SN",
     "SELECT repo, file_path, commit_id, code_loc, code_max_cyclomatic_complexity, has_large_class, has_deep_nesting, has_high_complexity FROM sn_snapshots",
@@ -185,42 +203,40 @@ def feature_project(sn):
     return project_features(sn, op.GROUPS["C"], removed=["total_smells", "code_max_nesting_depth"], keep=ROW)
 
 
-STATIC_FROM_SN = [f for f in op.STATIC_FEATURES]
+STATIC_TABLED = ["code_loc", "code_max_cyclomatic_complexity", "total_smells", "smell_density"]
 
 
 def _static_sql():
     have = {
         "code_loc", "code_max_cyclomatic_complexity", "code_max_nesting_depth", "has_large_class", "has_deep_nesting",
-        "has_high_complexity", "total_smells",
+        "has_high_complexity", "total_smells", "smell_density",
     }
+
+    def ranked(c):
+        x, i = f"t_{c}", f"len(list_filter(t_{c}, lambda k: k <= {c}))"
+        inside = f"0.01::DOUBLE + 0.0098::DOUBLE * ({i} - 1) + 0.0098::DOUBLE * ({c} - {x}[{i}]) / ({x}[{i} + 1] - {x}[{i}])"
+        return f"round(CASE WHEN {i} = 0 THEN 0.01::DOUBLE WHEN {i} >= 101 THEN 0.99::DOUBLE ELSE {inside} END, 8) AS rank_{c}"
+
     out = []
     for f in op.STATIC_FEATURES:
         if f in have:
             out.append(f"{f}::DOUBLE AS {f}")
-        elif f == "smell_density":
-            out.append("total_smells / greatest(code_loc, 1) AS smell_density")
-        elif f == "rank_code_max_cyclomatic_complexity":
-            out.append(
-                "round(CASE WHEN i = 0 THEN 0.01::DOUBLE WHEN i >= 101 THEN 0.99::DOUBLE ELSE 0.01::DOUBLE + 0.0098::DOUBLE * (i - 1) + 0.0098::DOUBLE * (code_max_cyclomatic_complexity - xs[i]) / (xs[i + 1] - xs[i]) END, 8) AS rank_code_max_cyclomatic_complexity"
-            )
         elif f.startswith("rank_"):
-            out.append(f"0.5::DOUBLE AS {f}")
+            out.append(ranked(f[5:]) if f[5:] in have else f"0.5::DOUBLE AS {f}")
         else:
             out.append(f"0e0 AS {f}")
-    return f"""WITH {QUANTILES},
-t AS (SELECT list(value ORDER BY idx) AS xs FROM q WHERE feature = 'code_max_cyclomatic_complexity'),
-d AS (SELECT s.*, xs, len(list_filter(xs, lambda k: k <= code_max_cyclomatic_complexity)) AS i FROM sn_snapshots s, t)
+    tables = ", ".join(f"(SELECT quantile_cont({c}::DOUBLE, {PROBS}) FROM s) AS t_{c}" for c in STATIC_TABLED)
+    return f"""WITH s AS (SELECT *, total_smells / greatest(code_loc, 1) AS smell_density FROM sn_snapshots), d AS (SELECT s.*, {tables} FROM s)
 SELECT repo, file_path, commit_id, {', '.join(out)} FROM d"""
 
 
 @query("static_feature_row", "SN", _static_sql())
 def static_feature_row(sn):
-    table = op.quantile_reference(sn, ["code_max_cyclomatic_complexity"])
+    """The 34 static features; every ranked one that the snapshots have goes through its quantile table."""
     dense = sn.withColumn("smell_density", op.smell_density())
-    tabled = [c for c in ("code_max_cyclomatic_complexity",)]
-    ranked = op.quantile_rank(dense, tabled, table)
+    ranked = op.quantile_rank(dense, STATIC_TABLED, op.quantile_reference(dense, STATIC_TABLED))
     row = op.feature_row(ranked, op.STATIC_FEATURES, ROW)
-    return row.withColumn("rank_code_max_cyclomatic_complexity", F.round("rank_code_max_cyclomatic_complexity", 8))
+    return row.withColumns({f"rank_{c}": F.round(f"rank_{c}", 8) for c in STATIC_TABLED})
 
 
 FULL = ["code_loc", "total_smells", "previous_file_commits", "previous_bug_fixes", "contributors", "recent_file_commits",

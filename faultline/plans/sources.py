@@ -87,11 +87,11 @@ def _branch_sql():
     def hits(patterns):
         return " + ".join(f"len(regexp_extract_all(line, {lit(p)}))" for p in patterns)
 
-    return f"""WITH {STATE} SELECT repo, file_path, (1 + coalesce(sum(CASE ext WHEN '.java' THEN {hits(lang.LANGUAGES['java']['branches'])}
+    return f"""SELECT repo, file_path, (1 + coalesce(sum(CASE ext WHEN '.java' THEN {hits(lang.LANGUAGES['java']['branches'])}
   WHEN '.go' THEN {hits(lang.LANGUAGES['go']['branches'])} ELSE {hits(lang.OTHER['branches'])} END) FILTER (kind = 'code'), 0))::INT AS cyclomatic_complexity FROM cl GROUP BY 1, 2"""
 
 
-@query("branch_complexity", "SRC", _branch_sql())
+@query("branch_complexity", "SRC", f"WITH {STATE} {_branch_sql()}")
 def branch_complexity(src):
     return op.comment_profile(src).select("repo", "file_path", "cyclomatic_complexity")
 
@@ -167,9 +167,11 @@ def class_import_counts(src):
 
 
 CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(source, '(?s)/\*.*?\*/', ' ', 'g'), '//[^\n]*', '', 'g'), '"(?:[^"\\]|\\.)*"', '""', 'g')"""
-HALSTEAD = f"""cleaned AS (SELECT repo, file_path, source, {CLEAN} AS clean FROM src_sources),
+CLEAN_PYTHON = r"""regexp_replace(regexp_replace(source, '#[^\n]*', '', 'g'), '"(?:[^"\\]|\\.)*"', '""', 'g')"""
+HALSTEAD = f"""cleaned AS (SELECT repo, file_path, source, CASE WHEN ends_with(file_path, '.py') THEN {CLEAN_PYTHON} ELSE {CLEAN} END AS clean FROM src_sources),
 tok AS (SELECT repo, file_path, source, regexp_extract_all(clean, {lit(lang.OPERATORS)}) AS ops, list_filter(regexp_extract_all(clean, {lit(lang.IDENTIFIERS)}),
-  lambda w: NOT list_contains([{', '.join(lit(k) for k in lang.JAVA_KEYWORDS)}], w)) AS ids FROM cleaned),
+  lambda w: NOT CASE WHEN ends_with(file_path, '.py') THEN list_contains([{', '.join(lit(k) for k in lang.PYTHON_KEYWORDS)}], w)
+    ELSE list_contains([{', '.join(lit(k) for k in lang.JAVA_KEYWORDS)}], w) END) AS ids FROM cleaned),
 sz AS (SELECT repo, file_path, source, len(ops) AS na, len(ids) AS nb, len(list_distinct(ops)) AS a, len(list_distinct(ids)) AS b FROM tok),
 hv AS (SELECT repo, file_path, source, CASE WHEN b > 0 AND a + b > 1 THEN (na + nb) * log2(a + b) ELSE 0 END AS v, CASE WHEN b > 0 THEN a / 2e0 * (nb / b) ELSE 0 END AS d FROM sz)"""
 
@@ -184,16 +186,13 @@ def halstead(src):
 
 @query(
     "maintainability_index", "SRC",
-    f"""WITH {HALSTEAD}, {LINES}, l AS (SELECT repo, file_path, count(*) AS loc FROM ln GROUP BY 1, 2)
-SELECT repo, file_path, round(greatest(0, (171 - 5.2::DOUBLE * ln(greatest(round(v, 3), 1)) - 0.23::DOUBLE * greatest(1 + len(regexp_extract_all(source, '\\bif\\b')), 1) - 16.2::DOUBLE * ln(greatest(loc, 1))) * (100e0 / 171e0)), 2) AS maintainability_index
-FROM hv JOIN l USING (repo, file_path)""",
+    f"""WITH {HALSTEAD}, {STATE}, l AS (SELECT repo, file_path, count(*) AS loc FROM ln GROUP BY 1, 2), cc AS ({_branch_sql()})
+SELECT repo, file_path, round(greatest(0, (171 - 5.2::DOUBLE * ln(greatest(round(v, 3), 1)) - 0.23::DOUBLE * greatest(cyclomatic_complexity, 1) - 16.2::DOUBLE * ln(greatest(loc, 1))) * (100e0 / 171e0)), 2) AS maintainability_index
+FROM hv JOIN l USING (repo, file_path) JOIN cc USING (repo, file_path)""",
 )
 def maintainability_index(src):
-    volume = op.with_halstead(src)
-    cc = F.regexp_count("source", F.lit(r"\bif\b")) + 1
-    return volume.select(
-        "repo", "file_path", op.maintainability_index(F.col("halstead_volume"), cc, F.size(op.lines_of(F.col("source")))).alias("maintainability_index")
-    )
+    metrics = op.with_halstead(op.comment_profile(src))
+    return metrics.select("repo", "file_path", op.maintainability_index(F.col("halstead_volume"), F.col("cyclomatic_complexity"), F.col("loc")).alias("maintainability_index"))
 
 
 @query(
@@ -214,7 +213,7 @@ def cognitive_complexity(src):
 @query("code_metrics", "SRC")
 def code_metrics(src):
     """All metric columns at once; its parts have check SQL under their own keys."""
-    return op.code_metrics(src).drop("source", "function_sizes", "class_sizes", "param_counts")
+    return op.code_metrics(src).drop("source", "function_sizes", "class_sizes", "param_counts", "function_complexities")
 
 
 # Metric columns from snapshot arithmetic, so that every rule set meets all its smells.

@@ -1,6 +1,7 @@
 """Session defaults for runs that do not bring their own session (tests, bench)."""
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -30,7 +31,7 @@ def work_folder(spark, label):
     setting is absent, as in tests.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None and spark.sparkContext.master.startswith("local"):
+    if base is None and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # one process; not local-cluster
         base = os.path.join(tempfile.gettempdir(), "faultline")
         os.makedirs(base, exist_ok=True)
         return tempfile.mkdtemp(prefix=f"{label}-", dir=base)

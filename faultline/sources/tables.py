@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from faultline.functions.files import IGNORED_FOLDERS
+from faultline.functions.text import strip
 
 MERGED_NAMES = ["all_repos_merged.parquet", "all_java_merged.parquet"]
 
@@ -67,9 +68,9 @@ def _pattern(folder):
 def parse_log_lines(lines, column="value"):
     """`id|author|date|subject` lines as columns; the subject keeps its bars, bad rows are dropped."""
     parts = F.split(F.col(column), r"\|", 4)
-    when = F.try_to_timestamp(F.trim(parts[2]))
+    when = F.try_to_timestamp(strip(parts[2]))
     return lines.where(F.size(parts) == 4).select(
-        F.trim(parts[0]).alias("commit_id"), F.trim(parts[1]).alias("author"), when.alias("commit_date"), F.trim(parts[3]).alias("message")
+        strip(parts[0]).alias("commit_id"), strip(parts[1]).alias("author"), when.alias("commit_date"), strip(parts[3]).alias("message")
     ).where(F.col("commit_date").isNotNull())
 
 

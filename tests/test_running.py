@@ -75,3 +75,28 @@ def test_labels_look_strictly_ahead(spark):
     )
     got = {r["commit_id"]: (r["label"], r["label_score"]) for r in history.future_label(ch, ch.select("repo", "file_path", "commit_id", "commit_date")).collect()}
     assert got == {1: (1, 0.6), 2: (1, 0.6), 3: (0, 0.0), 4: (0, 0.0)}
+
+
+def test_stepwise_equals_plain_window(spark):
+    """One key holds half of all rows; several rows share a position, null keys and orders count for nothing."""
+    from faultline.operators.running import quarter_level, stepwise
+
+    df = events(spark).withColumn("ts", F.floor(F.col("ts") / 40_000) * 40_000)
+    odd = spark.createDataFrame([(None, 5, 1, 1), ("hot", None, 2, 2)], df.schema)
+    aggs = {"s": ("sum", "v"), "hi": ("max", "v"), "lo": ("min", "id")}
+    per = df.groupBy("key", "ts").agg(F.sum("v").alias("s"), F.max("v").alias("hi"), F.min("id").alias("lo"))
+    for inclusive, last in ((False, -1), (True, 0)):
+        w = Window.partitionBy("key").orderBy("ts").rowsBetween(Window.unboundedPreceding, last)
+        want = per.select("key", "ts", F.coalesce(F.sum("s").over(w), F.lit(0)).alias("s"), F.max("hi").over(w).alias("hi"), F.min("lo").over(w).alias("lo"))
+        for level in (day_level(F.col("ts")), quarter_level(F.col("ts"))):
+            got = stepwise(df.unionByName(odd), ["key"], "ts", level, aggs, inclusive).select("key", "ts", "s", "hi", "lo")
+            assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+def test_knots_upto(spark):
+    from faultline.operators.features import knots_upto
+
+    rng = random.Random(2)
+    rows = [(sorted(float(rng.randrange(9)) for _ in range(rng.randint(0, 12))), float(rng.randrange(-1, 10))) for _ in range(200)]
+    got = spark.createDataFrame(rows, "k array<double>, x double").select("k", "x", knots_upto(F.col("k"), F.col("x")).alias("n")).collect()
+    assert all(r.n == sum(v <= r.x for v in r.k) for r in got)
