@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 
 import numpy as np
@@ -20,6 +21,40 @@ def texts_of(docs: DataFrame, key: str = "doc_id", text: str = "text", null: str
     return docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit(null)).alias("text"))
 
 
+def key_type(docs: DataFrame, key: str = "doc_id") -> str:
+    """The type of the key as Spark names it: results keep it."""
+    return docs.schema[key].dataType.simpleString()
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """`name`, or that with underscores before it: one that is not taken, in any case of letters."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
+
+
+def release() -> None:
+    """Give memory that is free but held by allocators back to the system. Python workers live on from stage to stage, so what one
+    stage holds on to would be missing in the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """The task function `run`, which gives its memory back when it ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The values of a string column as UTF-8 bytes, null as no bytes."""
     return [b"" if v is None else v for v in column.cast(pa.large_binary()).to_pylist()]
@@ -55,6 +90,10 @@ class PieceTable:
         self.encode, self.limit, self.limit_bytes = encode, limit, limit_bytes
         self._reset()
 
+    def clear(self):
+        """Forget all pieces, and the room that they took."""
+        self._reset()
+
     def _reset(self):
         self.index: dict[bytes, int] = {}
         self.begin = np.zeros(1 << 12, np.int64)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.common import chunks, materialize, spans_to_flat, texts_of, utf8
+from faultline.llm.common import chunks, free_name, key_type, materialize, spans_to_flat, texts_of, tidy, utf8
 from faultline.llm.components import components
 from faultline.llm.words import U, Words, mix
 
@@ -30,8 +30,8 @@ MOST_MATCHES, COMPARISON = 8, 100
 #: Bits of the filter of documents whose sets are wanted; it spares work, never rows.
 FILTER_BITS = 1 << 23
 STEP = 1 << 18
-#: Homes of more classes than this are compared in blocks, of about so many classes a side.
-LONG, SIDE = 32, 512
+#: Homes of more classes than this are compared in blocks, of about so many classes and shingles a side.
+LONG, SIDE, SIDE_SHINGLES = 32, 512, 1 << 18
 
 
 class Sets:
@@ -87,7 +87,8 @@ def describe(docs: DataFrame, words_each: int, percent: int) -> DataFrame:
                 heads += [high[x : x + k].tobytes() for x, k in zip(s.first.tolist(), many.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(np.concatenate(size or [np.zeros(0, np.int64)])), pa.array(key, pa.int64()), pa.array(heads, pa.binary())], ["doc_id", "digest", "size", "key", "heads"])
 
-    return texts_of(docs).withColumn("digest", digest()).mapInArrow(run, "doc_id long, digest long, size long, key long, heads binary")
+    plain = texts_of(docs).withColumn("digest", digest())
+    return plain.mapInArrow(tidy(run), f"doc_id {key_type(plain)}, digest long, size long, key long, heads binary")
 
 
 def common_shingles(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +147,7 @@ def prefixes(docs: DataFrame, words_each: int, percent: int, common: tuple[np.nd
                 columns = [token[at].view(np.int64), *(np.repeat(x, long) for x in (s.key[own], s.size[own].astype(np.int32), matches.astype(np.int8))), place.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "key", "size", "matches", "place"])
 
-    return texts_of(docs).select("text").mapInArrow(run, "token long, key long, size int, matches tinyint, place int")
+    return texts_of(docs).select("text").mapInArrow(tidy(run), "token long, key long, size int, matches tinyint, place int")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words_each: int) -> DataFrame:
@@ -171,7 +172,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words_each: int) -> DataFrame:
                     seen.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(s.key[hit]), pa.array([s.tokens[s.first[i] : s.first[i + 1]].view(np.int64) for i in hit], pa.list_(pa.int64()))], ["key", "tokens"])
 
-    return texts_of(docs).select("text").mapInArrow(run, "key long, tokens array<long>").groupBy("key").agg(F.first("tokens").alias("tokens"))
+    return texts_of(docs).select("text").mapInArrow(tidy(run), "key long, tokens array<long>").groupBy("key").agg(F.first("tokens").alias("tokens"))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, words_each: int, percent: int) -> DataFrame:
@@ -229,10 +230,10 @@ def joining(rows: np.ndarray, columns: np.ndarray, alike: np.ndarray) -> tuple[n
 
 
 def home_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that join the labels of each home. `rows` (home, key, size, label, n, in_largest) are all classes of
-    homes of n. Those outside the home's largest label are compared with all, a block of either at a time, two
+    """(a, b): links that join the labels of each home. `rows` (home, key, size, label, n, shingles, in_largest) are all classes of
+    homes of n, with so many shingles together. Those outside the home's largest label are compared with all, a block of either at a time, two
     blocks of such classes once; of a block's links those come out that join labels not yet joined in it, fewer than it has classes."""
-    parts = F.ceil(F.col("n") / SIDE).cast("int")
+    parts = F.greatest(F.ceil(F.col("n") / SIDE), F.ceil(F.col("shingles") / SIDE_SHINGLES)).cast("int")
     share = F.pmod(F.xxhash64("key"), parts).cast("int")
     every = F.explode(F.sequence(F.lit(0), parts - 1))
     left = rows.where("not in_largest").select("home", share.alias("i"), every.alias("j"), F.lit(True).alias("asks"), "key", "size", "label")
@@ -289,8 +290,8 @@ def link(docs: DataFrame, words_each: int = 4, percent: int = 85) -> tuple[DataF
     votes = lists.select("token", "key").join(homes.select("key", "home"), "key").groupBy("token", "home").agg(F.count("*").alias("n"))
     moved = votes.groupBy("token").agg(F.max(F.struct("n", "home")).alias("most")).select(F.col("token").alias("home"), F.col("most.home").alias("to"))
     homes = materialize(homes.join(moved, "home").select("key", F.col("to").alias("home"), "weight", "size"), "homes")
-    hubs = homes.groupBy("home").agg(F.max(F.struct("weight", "key")).alias("top"), F.count("*").alias("n")).select("home", F.col("top.key").alias("hub"), "n")
-    homes = homes.join(hubs, "home").select("key", "home", "hub", "size", "n")
+    hubs = homes.groupBy("home").agg(F.max(F.struct("weight", "key")).alias("top"), F.count("*").alias("n"), F.sum("size").alias("shingles")).select("home", F.col("top.key").alias("hub"), "n", "shingles")
+    homes = homes.join(hubs, "home").select("key", "home", "hub", "size", "n", "shingles")
     asking = lists.join(homes.where("key <> hub").select("key", "hub"), "key")
     told = lists.join(homes.select(F.col("hub").alias("key")).distinct(), "key", "left_semi")
     star = _named(asking, "a").join(_named(told, "b"), ["token"]).where("a_hub = b")
@@ -301,7 +302,7 @@ def link(docs: DataFrame, words_each: int = 4, percent: int = 85) -> tuple[DataF
     at_home = homes.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     largest = at_home.groupBy("home", "label").agg(F.count("*").alias("m")).groupBy("home").agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("labels"))
     apart = at_home.where(F.col("n") > LONG).join(largest.where("labels > 1").select("home", F.col("top.label").alias("largest")), "home")
-    apart = materialize(apart.select("home", "key", "size", "label", "n", (F.col("label") == F.col("largest")).alias("in_largest")), "long-homes")
+    apart = materialize(apart.select("home", "key", "size", "label", "n", "shingles", (F.col("label") == F.col("largest")).alias("in_largest")), "long-homes")
     links = links.unionByName(home_blocks(apart, sets_of(docs, apart.select("key"), words_each), percent))
     links = materialize(links, "home-links")
     labels = materialize(components(links), "home-labels")
@@ -332,13 +333,15 @@ def keep_one(docs: DataFrame, words_each: int = 4, percent: int = 85) -> DataFra
     placed = members.where("doc_id is not null and key is not null").join(labels, "key", "left").select("doc_id", "digest", F.coalesce("label", "key").alias("label"))
     placed = materialize(placed, "documents")
     first = placed.groupBy("label").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
-    gone = placed.join(first, "label").where(F.struct("doc_id", "digest") != F.col("first")).select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_digest")).distinct()
-    kept = docs.join(gone, (docs["doc_id"] == gone["_gone"]) & (digest() == gone["_digest"]), "left_anti")
+    gone = placed.join(first, "label").where(F.struct("doc_id", "digest") != F.col("first")).select(F.col("doc_id").alias(free_name("gone", docs.columns)), F.col("digest").alias(free_name("digest", docs.columns))).distinct()
+    key, hashed = gone.columns
+    kept = docs.join(gone, (docs["doc_id"] == gone[key]) & (digest() == gone[hashed]), "left_anti")
     repeated = members.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id").distinct()
     if repeated.isEmpty():
         return kept
-    again = repeated.select(F.col("doc_id").alias("_again"))
-    same = kept["doc_id"].eqNullSafe(again["_again"])
+    name, place = free_name("again", docs.columns), free_name("place", docs.columns)
+    again = repeated.select(F.col("doc_id").alias(name))
+    same = kept["doc_id"].eqNullSafe(again[name])
     rows = Window.partitionBy("doc_id", "text").orderBy(F.monotonically_increasing_id())
-    first = kept.join(again, same, "left_semi").withColumn("_place", F.row_number().over(rows)).where("_place = 1").drop("_place")
+    first = kept.join(again, same, "left_semi").withColumn(place, F.row_number().over(rows)).where(F.col(place) == 1).drop(place)
     return kept.join(again, same, "left_anti").unionByName(first)

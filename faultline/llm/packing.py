@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.llm import tokens
-from faultline.llm.common import chunks, texts_of, utf8
+from faultline.llm.common import chunks, key_type, texts_of, tidy, utf8
 
 #: Pieces of one length are numbered in so many shares, so a length that many pieces have is not one task's.
 SHARES = 64
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Pieces that leave a task together.
+TOGETHER = 4096
+PIECES = "doc_id {}, piece int, start long, length long, ids_crc32 long"
 
 
 class CapacityTree:
@@ -97,6 +99,8 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> Da
     def run(batches):
         encoder = tokens.spaced(tokenizer)
         for batch in batches:
+            types = (batch.column("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            table = lambda out, types=types: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["doc_id", "piece", "start", "length", "ids_crc32"])
             texts, keys = utf8(batch.column("text")), batch.column("doc_id").to_pylist()
             out: list[list] = [[], [], [], [], []]
             for a, b in chunks(texts):
@@ -110,9 +114,15 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> Da
                         for column, value in zip(out, (key, piece, start, length, zlib.crc32(raw[4 * (at + start) : 4 * (at + start + length)]))):
                             column.append(value)
                     at += size
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                if len(out[0]) >= TOGETHER:
+                    yield table(out)
+                    out = [[], [], [], [], []]
+            yield table(out)
 
-    return texts_of(docs).mapInArrow(run, PIECES)
+        encoder.table.clear()  # the worker lives on
+
+    plain = texts_of(docs)
+    return plain.mapInArrow(tidy(run), PIECES.format(key_type(plain)))
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import chunks, texts_of, utf8
+from faultline.llm.common import CHUNK_BYTES, chunks, key_type, release, texts_of, tidy, utf8
 from faultline.llm.words import Words
 
 FEATURES, BANDWIDTH, RIDGE, SEED, FOLDS = 256, 3.0, 1.0, 20240229, 4
@@ -62,10 +62,12 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = utf8(batch.column("text"))
-            x = np.concatenate([statistics(texts[a:b]) for a, b in chunks(texts, STEP)] or [np.zeros((0, N_STATISTICS))]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(np.arange(0, x.size + 1, N_STATISTICS, dtype=np.int32), pa.array(x.reshape(-1)))], ["doc_id", "x"])
+            for a, b in chunks(texts, CHUNK_BYTES):
+                x = np.concatenate([statistics(texts[a + c : a + d]) for c, d in chunks(texts[a:b], STEP)]).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(np.arange(0, x.size + 1, N_STATISTICS, dtype=np.int32), pa.array(x.reshape(-1)))], ["doc_id", "x"])
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, x array<float>")
+    plain = texts_of(docs)
+    return plain.mapInArrow(tidy(run), f"doc_id {key_type(plain)}, x array<float>")
 
 
 @dataclass
@@ -173,7 +175,7 @@ def score(features: DataFrame, model: Model, threshold: float = 0.3) -> DataFram
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(_unpack(batch)))], ["doc_id", "score"])
 
-    rows = features.mapInArrow(run, "doc_id long, score double")
+    rows = features.mapInArrow(run, f"doc_id {key_type(features)}, score double")
     return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -186,6 +188,8 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFram
 
         texts = [b"" if t is None else t.encode() for t in text]
         x = np.concatenate([statistics(texts[a:b]) for a, b in chunks(texts, STEP)] or [np.zeros((0, N_STATISTICS))]).astype(np.float32).astype(np.float64)
-        return pd.Series(model.score(x) >= threshold)
+        kept = pd.Series(model.score(x) >= threshold)
+        release()
+        return kept
 
     return docs.where(good("text"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from faultline.llm.common import PieceTable, chunks, per_text, texts_of, utf8
+from faultline.llm.common import PieceTable, chunks, key_type, per_text, texts_of, utf8
 from faultline.llm.tokens import BYTE_CHARACTERS
 
 #: A pair that no merge uses up.
@@ -210,4 +210,5 @@ def encode_decode(docs: DataFrame, tokenizer: str, with_output: bool = True) ->
             types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types))], names)
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_output)
+    plain = texts_of(docs)
+    return plain.mapInArrow(run, f"doc_id {key_type(plain)}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_output)
