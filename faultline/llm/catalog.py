@@ -114,13 +114,12 @@ def op3(spark, sf_dir):
 
 
 def _op8_sql():
-    from faultline.llm.licenses import KNOWN, SPELLINGS
+    from faultline.llm.licenses import COPYRIGHT, SPELLINGS, texts
 
-    rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in KNOWN.items())
+    rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in texts())
     spelt = ", ".join(f"'{a}': '{b}'" for a, b in SPELLINGS.items())
-    form = r"""
-  SELECT *, trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '(?m)^[ \t*/#;]*(copyright|\(c\)|©|all rights reserved)[^\n]*$', ' ', 'g'),
-                                '[^\p{L}\p{N}]+', ' ', 'g')) AS words"""
+    form = rf"""
+  SELECT *, trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '{COPYRIGHT}', ' ', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS words"""
     respell = "array_to_string(list_transform(string_split(words, ' '), lambda w: coalesce(list_extract(map_extract(spelt, w), 1), w)), ' ')"
     return f"""
 WITH spellings AS (SELECT MAP {{{spelt}}} AS spelt),
