@@ -187,7 +187,7 @@ def op7(spark, sf_dir):
     """Every document's fingerprint, its edited text's, and how near it is to that and to the next document's."""
     from faultline.llm import spots as s
 
-    rows = s.edits(table(spark, sf_dir, "documents")).withColumn("edited_marks", s.signatures(F.col("edited")))
+    rows = s.with_signatures(s.edits(table(spark, sf_dir, "documents")), "edited", "edited_marks")
     return rows.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         s.fingerprint(F.col("marks")).alias("fingerprint"), s.fingerprint(F.col("edited_marks")).alias("edited_fingerprint"),

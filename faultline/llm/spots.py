@@ -1,6 +1,9 @@
-"""Document fingerprints from spot signatures (SpotSigs): an anchor, a very common word, with the chain of content words
-that follow it. DataFrame functions only.
+"""Document fingerprints from spot signatures (SpotSigs): an anchor with the chain of content words that follow it. DataFrame
+functions only.
 
+Anchors are the very common words, each where a content word follows, the content words whose hash is a multiple of EVERY, so
+that texts without common words (lists, tables, short notes) have anchors too, and the start of the text, so that every text
+with a word has a signature.
 A fingerprint is the sorted set of its signatures' 32-bit hashes in hexadecimal. Two are compared by Jaccard; sets
 whose lengths rule out the wanted likeness are not looked at.
 """
@@ -14,23 +17,35 @@ from pyspark.sql import functions as F
 
 from faultline.session import materialize
 
-#: Anchors, common words of English, German, French and Spanish.
+#: Common words of English, German, French and Spanish.
 ANCHORS = "the of and is to der die das und ist le la les de et el los las y que".split()
-#: Content words in a chain, and anchors that a chain may skip before each.
-CHAIN, SKIPPED = 2, 8
+#: A content word in so many, by hash, is an anchor.
+EVERY = 8
+START = "^"
 _LETTER, _GAP = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]+"
-_ANCHOR = rf"(?:{'|'.join(ANCHORS)})(?!{_LETTER})"
-_SKIP = rf"(?:{_GAP}{_ANCHOR}){{0,{SKIPPED}}}+{_GAP}"
-SPOT = rf"(?<!{_LETTER})(?=({_ANCHOR}(?:{_SKIP}{_LETTER}++){{{CHAIN}}}))"
-
-
-def signatures(text: Column) -> Column:
-    """The sorted set of a text's signatures: its spots and its distinct words, in every text alike. So lists, tables and
-    short notes have a fingerprint as well, and no edit changes of what kind it is; a text without words has no signatures."""
-    small = F.lower(text)
-    spots = F.transform(F.regexp_extract_all(small, F.lit(SPOT), F.lit(1)), lambda s: F.hash(F.regexp_replace(s, _SKIP, " ")))
-    words = F.filter(F.split(small, _GAP), lambda w: w != "")
-    return F.array_sort(F.array_distinct(F.concat(spots, F.transform(words, lambda w: F.hash(w)))))
+_COMMON = rf"(?:{'|'.join(ANCHORS)})(?!{_LETTER})"
+#: A content word (group 2) with the common word just before it, if there is one (group 1).
+CONTENT = rf"(?<!{_LETTER})(?:({_COMMON}){_GAP})?(?!{_COMMON})({_LETTER}++)"
+_SCRATCH = ("_spot_text", "_spot_common", "_spot_word", "_spot_chains")
+
+
+def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
+    """`df` with the sorted set of the signatures of column `text`: for each anchor, the hash of it and the next two content words, or of
+    as many as the text still has. A text of common words alone is one chain; a text without words has no signatures. Letters
+    count in lower case. Names in _SCRATCH are taken; the steps are columns, so that none is worked out twice."""
+    small, common, word, chains = _SCRATCH
+    df = df.withColumn(small, F.lower(text))
+    df = df.withColumns({common: F.regexp_extract_all(small, F.lit(CONTENT), F.lit(1)), word: F.regexp_extract_all(small, F.lit(CONTENT), F.lit(2))})
+    following = F.slice(word, F.lit(2), F.greatest(F.size(word), F.lit(1)))
+    before = F.concat(F.array(F.lit(START)), F.slice(word, F.lit(1), F.greatest(F.size(word) - 1, F.lit(0))))
+    zipped = F.arrays_zip(F.col(common).alias("common"), F.col(word).alias("word"), following.alias("next"), before.alias("last"))
+    df = df.withColumn(chains, F.when(F.size(word) > 0, zipped))
+    by_common = F.transform(F.filter(chains, lambda c: c["common"] != ""), lambda c: F.hash(c["common"], c["word"], c["next"]))
+    own = lambda c: (F.pmod(F.hash(c["last"]), F.lit(EVERY)) == 0) | (c["last"] == START)
+    by_hash = F.transform(F.filter(chains, own), lambda c: F.hash(c["last"], c["word"], c["next"]))
+    alone = F.when(F.col(small).rlike(_LETTER), F.array(F.hash(F.lit(START), F.regexp_replace(small, _GAP, " "))))
+    found = F.array_sort(F.array_distinct(F.concat(by_common, by_hash)))
+    return df.withColumn(out, F.coalesce(found, alone, F.array().cast("array<int>"))).drop(*_SCRATCH)
 
 
 def fingerprint(marks: Column) -> Column:
@@ -66,17 +81,19 @@ def edits(docs: DataFrame) -> DataFrame:
     many of the successor, or all of it.
 
     A null text is empty. Rows that repeat key and text are one document to the order, and each gets its row. A
-    document alone is its own successor.
+    document alone is its own successor. Texts are dealt out once, by key and hash, for both joins; a successor sends the
+    head that is asked of it and its signatures, which are made after that exchange.
     """
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = plain.select("doc_id", F.xxhash64("text").alias("h"), "text").withColumn("marks", signatures(F.col("text")))
+    base = plain.select("doc_id", F.xxhash64("text").alias("h"), "text")
     links = successors(plain)
-    givers = links.select(F.col("next_id").alias("doc_id"), F.col("next_h").alias("h"), F.col("doc_id").alias("to_id"), F.col("h").alias("to_h"), F.floor(F.col("n") / 4).cast("int").alias("k"))
-    same = lambda a, b, x, y: a["doc_id"].eqNullSafe(b[x]) & (a["h"] == b[y])
-    given = base.join(givers.hint("shuffle_hash"), same(base, givers, "doc_id", "h")).select("to_id", "to_h", F.substring(base["text"], F.lit(1), F.col("k")).alias("head"), base["marks"].alias("next_marks"))
+    givers = links.select(F.col("next_id").alias("asked_id"), F.col("next_h").alias("asked_h"), F.col("doc_id").alias("to_id"), F.col("h").alias("to_h"), F.floor(F.col("n") / 4).cast("int").alias("k"))
+    same = lambda x, y: F.col("doc_id").eqNullSafe(F.col(x)) & (F.col("h") == F.col(y))
+    given = with_signatures(base.join(givers.hint("shuffle_hash"), same("asked_id", "asked_h")), "text", "next_marks").select("to_id", "to_h", F.substring("text", F.lit(1), F.col("k")).alias("head"), "next_marks")
     given = given.groupBy("to_id", "to_h").agg(F.first("head").alias("head"), F.first("next_marks").alias("next_marks"))
     kept = F.length("text") - F.floor(F.length("text") / 4).cast("int")
-    return base.join(given, same(base, given, "to_id", "to_h")).select("doc_id", "text", F.concat(F.substring("text", F.lit(1), kept), "head").alias("edited"), "marks", "next_marks")
+    edited = base.join(given, same("to_id", "to_h")).select("doc_id", "text", F.concat(F.substring("text", F.lit(1), kept), "head").alias("edited"), "next_marks")
+    return with_signatures(edited, "text", "marks").select("doc_id", "text", "edited", "marks", "next_marks")
 
 
 def near_pairs(docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -86,7 +103,7 @@ def near_pairs(docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFram
     A set's rarest signatures, as many as may all be missing from a set so like it and one more, are looked up
     among the same of sets whose lengths are near enough; lengths that far apart fall in parts that do not meet.
     """
-    classes = docs.select("doc_id", signatures(F.coalesce("text", F.lit(""))).alias("marks")).withColumn("fingerprint", fingerprint(F.col("marks")))
+    classes = with_signatures(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "marks").withColumn("fingerprint", fingerprint(F.col("marks")))
     sets = classes.groupBy("fingerprint").agg(F.first("marks").alias("marks")).where(F.size("marks") > 0)
     each = sets.select("fingerprint", F.explode("marks").alias("mark"), F.size("marks").alias("size"))
     often = each.groupBy("mark").agg(F.count("*").alias("often")).where("often > 1")
