@@ -78,11 +78,17 @@ def _blocks(coder: Coder):
         keys: list[list] = [[]]
         held: list[list] = [[]]
 
+        def encoded(blocks):
+            """Blocks coded side by side are padded to the longest, so one beyond BLOCK, a long document, is coded alone."""
+            short = [b for b in blocks if len(b) <= BLOCK]
+            coded = iter(coder.encode(short) if short else [])
+            return [next(coded) if len(b) <= BLOCK else coder.encode([b])[0] for b in blocks]
+
         def flush():
             nonlocal block, start, keys, held
             kept = [(k, v) for k, v in zip(keys, held) if k]
             rows = []
-            for (k, v), coded in zip(kept, coder.encode([np.concatenate(v).astype(np.int64) for _, v in kept])):
+            for (k, v), coded in zip(kept, encoded([np.concatenate(v).astype(np.int64) for _, v in kept])):
                 rows.append({"part": part, "block": block, "part_start": start, "doc_ids": k, "sizes": [len(x) for x in v]} | coded)
                 block, start = block + 1, start + coded["n"]
             keys, held = [[]], [[]]
@@ -111,8 +117,8 @@ ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("part_start", p
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> None:
     """Encode every document of `docs` into the corpus folder.
 
-    Documents are in ascending key order, null keys first; rows that share a key are in the order of their ids. An
-    empty table gives a folder without blocks.
+    Documents are in ascending key order, null keys first; rows that share a key are in the order of a hash of their ids. An
+    empty table gives a folder without blocks. What the range exchange samples are keys and hashes, never texts.
     """
     spark = docs.sparkSession
     tokenise(docs, tokenizer, end_id).write.parquet(f"{folder}/ids")
@@ -122,8 +128,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> None:
         counts[row["id"]] = row["n"]
     freq = quantise(counts)
     spark.createDataFrame([(int(i), int(freq[i])) for i in np.flatnonzero(freq)], MODEL).write.parquet(f"{folder}/model")
-    order = ["doc_id", F.xxhash64("ids"), "ids"]
-    ranged = ids.repartitionByRange(*order).sortWithinPartitions("doc_id", "ids")
+    order = ["doc_id", F.xxhash64("ids")]
+    ranged = ids.repartitionByRange(*order).sortWithinPartitions(*order)
     ranged.mapInArrow(_blocks(Coder(freq)), BLOCKS).write.parquet(f"{folder}/blocks")
 
 
