@@ -14,6 +14,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from faultline.llm.common import free_name
+
 BLOBS = "blob string, rule_version int"
 FINDINGS = "blob string, rule_version int, kind string, kind_order int, start long, stop long"
 
@@ -131,9 +133,10 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 def redact(docs: DataFrame, findings: DataFrame) -> DataFrame:
     """`docs`, all columns, with findings taken out of the texts; n_chars, where there is one, follows."""
-    taken = by_blob(findings).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    joined = docs.withColumn("_blob", address(F.col("text"))).join(taken, "_blob", "left")
-    clean = joined.withColumn("text", F.when(F.col("_spans").isNotNull(), redacted(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
+    blob, spans = free_name("blob", docs.columns), free_name("spans", docs.columns)
+    taken = by_blob(findings).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    joined = docs.withColumn(blob, address(F.col("text"))).join(taken, blob, "left")
+    clean = joined.withColumn("text", F.when(F.col(spans).isNotNull(), redacted(F.col("text"), F.col(spans))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
+        clean = clean.withColumn("n_chars", F.when(F.col(spans).isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
     return clean.select(*docs.columns)
