@@ -2,8 +2,9 @@
 
 Both corpora are multinomials over hashed n-grams (runs of GRAM bytes of UTF-8, BUCKETS buckets). A document's
 score is the mean, over its n-grams, of log p(target) - log p(raw); every document is compared with one fixed threshold.
-The raw counts are of all documents, the target counts of all trusted ones. Which documents are trusted is joined by key as
-Spark sees fit: few keys are sent to all tasks, many are shuffled with the documents.
+The raw counts are of all documents, from a pass without a join. The target counts are of all trusted documents: a bit for
+each hash of a trusted key, FILTER_BITS in all, tells which texts may be trusted, and only these move to the join by key that
+tells which are. The plan is the same at every size.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import chunks, texts_of, utf8
+from faultline.llm.common import chunks, key_type, release, texts_of, tidy, utf8
 from faultline.llm.words import Words
 
 GRAM, BUCKETS = 4, 1 << 15
@@ -25,6 +26,8 @@ SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 REPEAT = 8
 STEP = 1 << 18
+#: Bits of the filter of trusted keys, in words of 64: 262,144 rows at most. It spares moves, never rows.
+FILTER_BITS = 1 << 24
 
 
 def grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -86,23 +89,38 @@ def trusted_keys(labels: DataFrame) -> DataFrame:
     return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
-def count_grams(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(bucket, raw, target): n-gram counts of all documents and of the trusted ones; each task adds up its own first."""
-    marked = texts_of(docs).join(trusted.select("doc_id", F.lit(True).alias("trusted")), "doc_id", "left")
+def may_be_trusted(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """The rows of `docs` (doc_id, text) whose key may be a trusted one: all that are, and a few more."""
+    bit = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(FILTER_BITS))
+    word, place = F.floor(bit / 64).cast("int").alias("word"), (bit % 64).cast("int").alias("place")
+    words = trusted.select(word, place).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("bits"))
+    marked = docs.select("doc_id", "text", word, place).join(F.broadcast(words), "word")  # FILTER_BITS / 64 rows at most
+    return marked.where(F.expr("getbit(bits, place) = 1")).select("doc_id", "text")
+
+
+def histogram(texts: DataFrame, name: str) -> DataFrame:
+    """(bucket, `name`): how often the n-grams of `text` fall into each bucket, added up by each task first."""
 
     def run(batches):
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            texts, good = utf8(batch.column("text")), np.array([bool(x) for x in batch.column("trusted").to_pylist()], bool)
-            for a, b in chunks(texts, STEP):
-                bucket, owner = grams(Words(texts[a:b]))
-                raw += np.bincount(bucket, minlength=BUCKETS)
-                if good[a:b].any():
-                    target += np.bincount(bucket[good[a:b][owner]], minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS, dtype=np.int32)), pa.array(raw), pa.array(target)], ["bucket", "raw", "target"])
+            own = utf8(batch.column("text"))
+            for a, b in chunks(own, STEP):
+                total += np.bincount(grams(Words(own[a:b]))[0], minlength=BUCKETS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS, dtype=np.int32)), pa.array(total)], ["bucket", name])
 
-    rows = marked.select("text", "trusted").mapInArrow(run, "bucket int, raw long, target long")
-    return rows.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    return texts.select("text").mapInArrow(tidy(run), f"bucket int, {name} long").groupBy("bucket").agg(F.sum(name).alias(name))
+
+
+def count_grams(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(bucket, raw, target): n-gram counts of all documents and of the trusted ones."""
+    plain = texts_of(docs)
+    named = trusted.select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
+    # an inner join: the optimizer would move a semi join below the filter, and all texts with it
+    good = may_be_trusted(plain.withColumn("doc_id", F.col("doc_id").cast("string")), named).join(named.hint("shuffle_hash"), "doc_id")
+    zero = F.lit(0).cast("long")
+    both = histogram(plain, "raw").withColumn("target", zero).unionByName(histogram(good, "target").withColumn("raw", zero))
+    return both.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
 def ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
@@ -126,21 +144,23 @@ def verdicts(texts: list[bytes], table: np.ndarray, least: float = LEAST) -> dic
     return out
 
 
-RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_ratio double, kept boolean"
+RESULT = "doc_id {}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_ratio double, kept boolean"
 
 
 def apply_rules(docs: DataFrame, table: np.ndarray, least: float = LEAST) -> DataFrame:
-    """One row of statistics, score and verdict for each row of `docs`, repeated ones too; a null text has no words and fails."""
+    """One row of statistics, score and verdict for each row of `docs`, repeated ones too; a null text has no words and fails. `doc_id` keeps
+    its type and may be null. Results leave a task by slices of STEP bytes of text."""
     names = [c.split()[0] for c in RESULT.split(", ")][1:]
+    plain = texts_of(docs)
 
     def run(batches):
         for batch in batches:
             texts = utf8(batch.column("text"))
-            parts = [verdicts(texts[a:b], table, least) for a, b in chunks(texts, STEP)]
-            if parts:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.concatenate([p[c] for p in parts])) for c in names)], ["doc_id", *names])
+            for a, b in chunks(texts, STEP):
+                own = verdicts(texts[a:b], table, least)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *(pa.array(own[c]) for c in names)], ["doc_id", *names])
 
-    return texts_of(docs).mapInArrow(run, RESULT)
+    return plain.mapInArrow(tidy(run), RESULT.format(key_type(plain)))
 
 
 def keep_good(docs: DataFrame, table: np.ndarray, least: float = LEAST) -> DataFrame:
@@ -151,6 +171,8 @@ def keep_good(docs: DataFrame, table: np.ndarray, least: float = LEAST) -> DataF
         import pandas as pd
 
         texts = [b"" if t is None else t.encode() for t in text]
-        return pd.Series(np.concatenate([verdicts(texts[a:b], table, least)["kept"] for a, b in chunks(texts, STEP)] or [np.zeros(0, bool)]))
+        kept = pd.Series(np.concatenate([verdicts(texts[a:b], table, least)["kept"] for a, b in chunks(texts, STEP)] or [np.zeros(0, bool)]))
+        release()
+        return kept
 
     return docs.where(good("text"))
