@@ -56,6 +56,51 @@ def test_classifier(spark, docs, tmp_path):
     assert {r.score for r in quality_classifier.score(x, none).collect()} == {0.5}
 
 
+def test_classifier_against_a_dense_solution(spark):
+    """Features, weights, out-of-fold scores and pools worked out on all labelled rows at once."""
+    q = quality_classifier
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality")
+    x = q.with_statistics(docs).cache()
+    model = q.fit(q.labelled_sample(x, labels).cache())
+    rows = x.join(labels, "doc_id", "left").withColumn("fold", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(q.FOLDS))).toPandas()
+    texts = dict(docs.collect())
+    assert np.allclose(np.stack(rows.x), q.statistics([texts[k].encode() for k in rows.doc_id]), atol=1e-5)
+    held = np.array([zlib.crc32(str(k).encode()) % 5 == 0 for k in rows.doc_id])
+    sample = rows[~held & rows.quality.notna()]
+    z, y, fold = np.stack(sample.x).astype(float), sample.quality.to_numpy(float), sample.fold.to_numpy()
+    mean, scale = z.mean(0), np.where(z.std(0) > 1e-6, z.std(0), 1.0)
+    draw = np.random.default_rng(q.SEED)
+    w, b = draw.normal(0, 1 / q.BANDWIDTH, (z.shape[1], q.FEATURES)), draw.uniform(0, 2 * np.pi, q.FEATURES)
+    features = lambda m: np.column_stack([np.sqrt(2 / q.FEATURES) * np.cos(np.clip((m - mean) / scale, -8, 8) @ w + b), np.ones(len(m))])
+    ridge = lambda f, t: np.linalg.solve(f.T @ f + np.diag([*[q.RIDGE] * q.FEATURES, 1e-6]), f.T @ t)
+    phi = features(z)
+    assert np.allclose(ridge(phi, y), model.weights, atol=1e-5)
+    out = np.zeros(len(y))
+    for k in range(q.FOLDS):
+        out[fold == k] = phi[fold == k] @ ridge(phi[fold != k], y[fold != k])
+    cell = np.clip((out + 0.5) / 2 * q.CELLS, 0, q.CELLS - 1).astype(int)
+    counted = [(c, y[cell == c].sum(), (cell == c).sum()) for c in np.unique(cell)]
+    pools = []  # neighbouring cells joined until shares rise
+    for c, p, n in counted:
+        pools.append([((c + 0.5) / q.CELLS * 2 - 0.5) * n, p, n])
+        while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last)]
+    levels = [a / n for a, _, n in pools]
+    chances = np.maximum.accumulate([(p + 0.5) / (n + 1) for _, p, n in pools])
+    want = np.interp(features(np.stack(rows.x).astype(float)) @ model.weights, levels, chances)
+    got = dict(q.score(x, model).select("doc_id", "score").collect())
+    assert np.allclose([got[k] for k in rows.doc_id], want, atol=1e-4)
+    good, bad = ([got[k] for k in rows.doc_id[held & (rows.quality == v)]] for v in (1, 0))
+    assert len(good) > 20 and len(bad) > 10 and np.mean([(g > o) + 0.5 * (g == o) for g in good for o in bad]) > 0.9
+    odd = spark.createDataFrame([(1, 1), (3, 1), (4, 0), (6, 5), (7, None)], "doc_id long, quality int")
+    assert q.labelled_sample(x, odd).count() == 5 - 1 - sum(zlib.crc32(str(k).encode()) % 5 == 0 for k in (1, 3, 4, 6))
+    assert q.labelled_sample(x, labels, rows=50).count() < labels.count()
+    tied = q.fit(q.labelled_sample(x.withColumn("x", F.array_repeat(F.lit(0.5).cast("float"), q.N_STATISTICS)), labels).cache())
+    assert len({r.score for r in q.score(x, tied).collect()}) >= 1
+
+
 def test_classifier_normal_equations_and_pools():
     levels, chances = quality_classifier.isotonic(np.array([0.1, 0.2, 0.3]), np.array([3, 1, 4]), np.array([4.0, 4.0, 4.0]))
     assert np.allclose(levels, [0.15, 0.3]) and np.allclose(chances, [4.5 / 9, 4.5 / 5])
@@ -194,6 +239,62 @@ def test_chat(spark):
     assert chat.digests(chat.read_back(chat.format_conversations(frame.limit(0)))).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_keys_of_any_type(spark, kind):
+    """Results name the documents by the key as it came."""
+    frame = awkward(spark).withColumn("doc_id", F.col("doc_id").cast(kind))
+    keys = sorted((str(r.doc_id) for r in frame.collect()))
+    model = quality_classifier.fit(quality_classifier.labelled_sample(quality_classifier.with_statistics(frame), spark.createDataFrame([], "doc_id long, quality int")))
+    pieces = packing.pieces_of(frame, vocabulary("word_bpe_49k.json"), 1, 4096).cache()
+    results = [
+        quality_classifier.score(quality_classifier.with_statistics(frame), model),
+        quality_rules.apply_rules(frame, quality_rules.ratios(frame, quality_rules.trusted_keys(spark.createDataFrame([(1, 1)], "doc_id long, quality int")))),
+        jaccard_join.grouped(*jaccard_join.link(frame)), pieces, packing.pack(pieces, 4096), trie_bpe.encode_decode(frame, vocabulary("word_bpe_49k.json")),
+    ]
+    for got in results:
+        assert dict(got.dtypes)["doc_id"] == kind and sorted(set(str(r.doc_id) for r in got.select("doc_id").collect())) == sorted(set(keys))
+    assert jaccard_join.keep_one(frame).count() <= len(keys)
+
+
+def test_columns_with_the_names_that_operators_use(spark, tmp_path):
+    rows = [(1, "password = abcdefgh1 x"), (1, "password = abcdefgh1 x"), (2, None), (3, "plain words only here")]
+    names = ["_place", "place", "again", "gone", "digest", "blob", "_blob", "spans", "_spans", "key"]
+    frame = spark.createDataFrame([(*r, *names) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))
+    secrets.update(frame, ledger)
+    clean = secrets.redact(frame, ledger.findings(secrets.RULE_VERSION))
+    assert clean.columns == frame.columns and all([r[n] for n in names] == names for r in clean.collect())
+    assert sorted(str(r.text) for r in clean.collect()) == sorted(["[SECRET] x"] * 2 + ["None", "plain words only here"])
+    kept = jaccard_join.keep_one(frame).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 2, 3] and all([r[n] for n in names] == names for r in kept)
+
+
+def test_very_long_texts(spark, tmp_path):
+    """One text of 5 MB beside small ones, for each operator on texts."""
+    rng = np.random.default_rng(1)
+    names = [f"w{k}" for k in range(5000)]
+    text = " ".join(names[k] for k in rng.integers(0, 5000, 930_000).tolist())
+    assert len(text) > 5_000_000
+    frame = spark.createDataFrame([(1, text), (2, text + " end"), (3, "short one")], "doc_id long, text string").repartition(2)
+    assert {r.doc_id: r.component_id for r in jaccard_join.grouped(*jaccard_join.link(frame)).collect()} == {1: 1, 2: 1, 3: 3}
+    table = quality_rules.ratios(frame, quality_rules.trusted_keys(spark.createDataFrame([(1, 1)], "doc_id long, quality int")))
+    assert {r.doc_id: r.n_words for r in quality_rules.apply_rules(frame, table).collect()} == {1: 930_000, 2: 930_001, 3: 2}
+    assert quality_classifier.with_statistics(frame).count() == 3
+    ids = library_ids("byte_bpe_50k.json", [text])[0]
+    token_files.write(frame, str(tmp_path / "ids"), vocabulary("byte_bpe_50k.json"), end_id=2)
+    first = token_files.read(spark, str(tmp_path / "ids")).where("doc_id = 1").first()
+    assert np.frombuffer(first.ids, "<u4").tolist() == [*ids, 2]
+    pieces = packing.pieces_of(frame, vocabulary("word_bpe_49k.json"), 1, 4096)
+    assert pieces.where("doc_id = 1 AND length < 4096").count() <= 1
+    marks = {r.doc_id: set(r.m) for r in spots.with_signatures(frame, "text", "m").collect()}
+    assert len(marks[1] & marks[2]) >= len(marks[1]) - 2 > 1000
+    ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))
+    secret = spark.createDataFrame([(1, text + " token=abcdefgh12 " + text)], "doc_id long, text string")
+    secrets.update(secret, ledger)
+    assert [(r.kind, r.start) for r in ledger.findings(secrets.RULE_VERSION).collect()] == [("assign", len(text) + 1)]
+    assert licenses.scan(frame, licenses.known_digests(spark)).where("license_id IS NOT NULL").count() == 0
+
+
 def test_token_files(spark, docs, tmp_path):
     for k, frame in enumerate((docs, awkward(spark), awkward(spark, []))):
         folder = str(tmp_path / str(k))
@@ -248,18 +349,41 @@ def test_trie_bpe(spark, docs):
     assert trie_bpe.encode_decode(awkward(spark, []), vocabulary("word_bpe_49k.json")).count() == 0
 
 
+def chains_by_hand(text):
+    """The chains of a text's anchors, word by word."""
+    words = re.findall(r"[^\W_]+", (text or "").lower())
+    common = set(spots.ANCHORS)
+    content = [w for w in words if w not in common]
+    if not content:
+        return {("^", " ".join(words))} if words else set()
+    out, place, row = {("^", *content[:2])}, 0, []
+    for w in words:
+        if w in common:
+            row.append(w)
+        else:
+            out |= {(c, *content[place : place + 2]) for c in row[-1:]}
+            row, place = [], place + 1
+    return out | {(w, *content[i + 1 : i + 3]) for i, w in enumerate(content[:-1])}  # the last ones if their hash says so
+
+
 def test_fingerprints(spark, docs):
     rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
-    got = {r.doc_id: r for r in spots.edits(docs).withColumn("edited_marks", spots.signatures(F.col("edited"))).withColumn("near", spots.likeness(F.col("marks"), F.col("edited_marks"))).collect()}
+    got = {r.doc_id: r for r in spots.with_signatures(spots.edits(docs), "edited", "edited_marks").withColumn("near", spots.likeness(F.col("marks"), F.col("edited_marks"))).withColumn("near_next", spots.likeness(F.col("marks"), F.col("next_marks"))).collect()}
+    chains = sorted({c for _, text in rows for c in chains_by_hand(text)}, key=str)
+    hashed = spark.createDataFrame([(i, *c, *[None] * (3 - len(c))) for i, c in enumerate(chains)], "i int, a string, b string, c string")
+    common = {"^", *spots.ANCHORS}
+    mark = {chains[r.i]: (r.h, r.a in common or r.anchor) for r in hashed.select("i", "a", F.hash("a", "b", "c").alias("h"), (F.pmod(F.hash("a"), F.lit(spots.EVERY)) == 0).alias("anchor")).collect()}
+    marks = {text: {mark[c][0] for c in chains_by_hand(text) if mark[c][1]} for _, text in rows}
     near = []
     for (key, text), (_, after) in zip(rows, rows[1:] + rows[:1]):
         q, r = len(text) // 4, got[key]
         assert r.edited == text[: len(text) - q] + after[:q]
-        a, b = set(r.marks), set(r.edited_marks)
+        assert set(r.marks) == marks[text] and r.marks == sorted(r.marks) and r.next_marks == sorted(marks[after])
+        a, b, c = marks[text], set(r.edited_marks), marks[after]
         assert r.near == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+        assert r.near_next == pytest.approx(len(a & c) / len(a | c) if a | c else 1.0)
         near.append(r.near)
     assert np.mean(near) > 0.5
-    assert spots.edits(awkward(spark)).count() == 9 and spots.edits(awkward(spark, [])).count() == 0
     classes, pairs = spots.near_pairs(docs, 0.8)
     prints = {r.fingerprint for r in classes.collect() if r.fingerprint}
     sets = {p: {p[i : i + 8] for i in range(0, len(p), 8)} for p in prints}
@@ -267,11 +391,34 @@ def test_fingerprints(spark, docs):
     assert {(r.a, r.b) for r in pairs.collect()} == want
 
 
-def test_fingerprints_of_near_copies_are_of_one_kind(spark):
-    words = [w for k in range(5) for w in ["the", *(f"w{k}n{i}" for i in range(11))]]  # a spot for every 12 words
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+def test_edits_of_awkward_rows(spark, kind):
+    """Order by key, then by hash of the text; null keys first; repeated rows have one place and a row each."""
+    frame = awkward(spark).withColumn("doc_id", F.col("doc_id").cast(kind))
+    plain = [(r.doc_id, r.h, r.text or "") for r in frame.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text").collect()]
+    order = sorted(set(plain), key=lambda x: (x[0] is not None, str(x[0]), x[1]))
+    want = []
+    for row in plain:
+        text, after = row[2], order[(order.index(row) + 1) % len(order)][2]
+        q = len(text) // 4
+        want.append((row[0], text, text[: len(text) - q] + after[:q]))
+    assert sorted(map(tuple, spots.edits(frame).select("doc_id", "text", "edited").collect()), key=str) == sorted(want, key=str)
+    assert spots.edits(awkward(spark, [])).count() == 0
+
+
+def test_fingerprints_without_common_words(spark):
+    texts = ["", " .,", "one", "the", "the of", "of the one", "alpha beta", "x y z " * 5, "the " * 30 + "end", "Ünïcode ß"]
+    got = spots.with_signatures(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string"), "t", "m").collect()
+    sizes = {texts[r.i]: len(r.m) for r in got}
+    assert sizes[""] == sizes[" .,"] == 0 and all(sizes[t] for t in texts[2:])
+    assert sizes["the " * 30 + "end"] == 2 and sizes["of the one"] == 2
+
+
+def test_fingerprints_of_near_copies(spark):
+    words = [w for k in range(5) for w in ["the", *(f"w{k}n{i}" for i in range(11))]]
     one, other = " ".join(words), " ".join([*words[:48], "this", *words[49:]])
-    _, pairs = spots.near_pairs(spark.createDataFrame([(1, one), (2, other)], "doc_id long, text string"), 0.8)
-    assert [r.near for r in pairs.collect()] == [pytest.approx(60 / 62)]
+    _, pairs = spots.near_pairs(spark.createDataFrame([(1, one), (2, other)], "doc_id long, text string"), 0.6)
+    assert len(pairs.collect()) == 1
 
 
 def test_licenses(spark):
@@ -284,6 +431,22 @@ def test_licenses(spark):
     assert licenses.scan(awkward(spark, []), known).count() == 0
 
 
+def test_licenses_at_any_width(spark):
+    """Every known body, plain and under a title and a copyright line, wrapped at 40 to 100 columns."""
+    import textwrap
+
+    rows = []
+    for name, body in licenses.KNOWN.items():
+        for title in ("", *licenses.TITLES.get(name, ())[:2]):
+            for width in range(40, 101):
+                text = "\n\n".join("\n".join(textwrap.wrap(p, width)) for p in body.split("\n\n"))
+                head = f"{title}\n\nCopyright (c) 2019-2024 Some Holder\nAll rights reserved.\n\n" if title else ""
+                rows.append((len(rows), head + text, name))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, name string")
+    got = {r.doc_id: r.license_id for r in licenses.scan(frame, licenses.known_digests(spark)).collect()}
+    assert [i for i, _, name in rows if got[i] != name] == []
+
+
 def test_packing(spark, docs):
     for frame, capacity in ((docs, 4096), (awkward(spark), 64), (awkward(spark, []), 64)):
         pieces = packing.pieces_of(frame, vocabulary("word_bpe_49k.json"), 1, capacity).cache()
@@ -345,7 +508,7 @@ def test_pipeline(spark, docs):
             failed = {r.doc_id for r in before.collect() if len(split(r.text)) < 20 or 100 * rules_by_hand(r.text)[4] > 30 * rules_by_hand(r.text)[0]}
             assert lost and sum(labels.get(k) == 1 for k in lost - failed) <= 2
         if name == "n-gram Jaccard join":
-            groups = components_by_hand([(r.doc_id, r.text) for r in before.collect()])
+            groups = components_by_hand([(r.doc_id, r.text) for r in before.collect()], 80, 5)
             assert {r.doc_id for r in kept.collect()} == {k for k, _, c in groups if k == c}
         if name == "secret scans":
             assert not any(spans_by_hand(r.text) for r in kept.collect())
