@@ -27,3 +27,9 @@ def tables(spark, tmp_path):
 
 def test_open_week(spark, tables):
     assert [tuple(r) for r in QUERIES["stream_tumbling"](spark, tables).collect()] == [("2023-12-28", 4, 2)]
+
+
+def test_open_months(spark, tables):
+    got = {r.start: (r.commits, r.fixes) for r in QUERIES["stream_sliding"](spark, tables).collect()}
+    assert len(got) == 31
+    assert got["2023-12-03"] == (2, 1) and got["2023-12-04"] == (4, 2) and got["2024-01-02"] == (2, 1)
