@@ -33,3 +33,8 @@ def test_open_months(spark, tables):
     got = {r.start: (r.commits, r.fixes) for r in QUERIES["stream_sliding"](spark, tables).collect()}
     assert len(got) == 31
     assert got["2023-12-03"] == (2, 1) and got["2023-12-04"] == (4, 2) and got["2024-01-02"] == (2, 1)
+
+
+def test_open_sessions(spark, tables):
+    got = sorted(map(tuple, QUERIES["stream_session"](spark, tables).collect()))
+    assert got == [(7, "2024-01-01 00:00:00", 2, 2), (7, "2024-01-02 00:00:00", 1, 3), (8, "2024-01-02 01:00:00", 1, 4)]
