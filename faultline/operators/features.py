@@ -265,12 +265,18 @@ def quantile_rank(df, columns, table):
     lookup = arrays.agg(F.map_from_entries(F.collect_list(F.struct("feature", "rows.value"))).alias("_tables"))
     with_table = df.withColumn("_tables", lookup.scalar())
 
+    # knots, value and place are columns of their own, so each search of a table runs once a row
+    facts = with_table.select(
+        *df.columns, *[f(c) for c in columns for f in (
+            lambda c: F.try_element_at(F.col("_tables"), F.lit(c)).alias(f"_knots_{c}"), lambda c: F.col(c).cast("double").alias(f"_value_{c}")
+        )]
+    )
+    # last knot at or below the value, 1-based
+    found = facts.select("*", *[knots_upto(F.col(f"_knots_{c}"), F.col(f"_value_{c}")).alias(f"_at_{c}") for c in columns])
+
     def place(c):
-        xs = F.try_element_at(F.col("_tables"), F.lit(c))
+        xs, x, i = F.col(f"_knots_{c}"), F.col(f"_value_{c}"), F.col(f"_at_{c}")
         step = 0.98 / F.greatest(F.size(xs) - 1, F.lit(1))
-        x = F.col(c).cast("double")
-        # last knot at or below x, 1-based
-        i = knots_upto(xs, x)
         left, right = F.get(xs, i - 1), F.get(xs, i)
         inside = 0.01 + step * (i - 1) + step * (x - left) / (right - left)
         return (
@@ -280,7 +286,7 @@ def quantile_rank(df, columns, table):
             .otherwise(inside)
         )
 
-    return with_table.select(*df.columns, *[place(c).alias(f"qrank_{c}") for c in columns])
+    return found.select(*df.columns, *[place(c).alias(f"qrank_{c}") for c in columns])
 
 
 SMALL_COMMIT = 64
