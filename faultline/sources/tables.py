@@ -117,7 +117,7 @@ def write_lines(lines, folder, by="repo"):
     """Text documents from ordered lines (by, section, ordinal, line), one folder per `by`.
 
     Lines are range-partitioned by document and position: files of a folder read in
-    name order give the document, and a large document is written by many tasks.
+    name order give the document, and a large document is written by many tasks. Files are gzipped, as readers of text take them.
     """
     placed = lines.repartitionByRange(by, "section", "ordinal").sortWithinPartitions(by, "section", "ordinal")
-    placed.select(by, F.col("line").alias("value")).write.mode("overwrite").partitionBy(by).text(folder)
+    placed.select(by, F.col("line").alias("value")).write.mode("overwrite").partitionBy(by).option("compression", "gzip").text(folder)
