@@ -32,7 +32,7 @@ def line_table(sources):
 
 
 def _blank(line):
-    return F.trim(F.regexp_replace(line, r"(?U)\s+", " ")) == ""
+    return ~line.rlike(r"(?U)\S")
 
 
 def _count(lines, test):
@@ -67,26 +67,32 @@ def _comment_walk(lines):
     def build(rules):
         branch = "|".join(rules["branches"])
 
-        def step(a, line):
+        def marks(line):
+            # every pattern meets a line once; the walk over lines only combines what was found
             blank = _blank(line)
+            return F.struct(
+                blank.alias("blank"), line.rlike(rules["start"]).alias("start"), line.rlike(rules["line"]).alias("line"), line.rlike(rules["end"]).alias("end"),
+                line.rlike("TODO|FIXME|HACK").alias("debt"), F.when(blank, 0).otherwise(F.regexp_count(line, F.lit("(?U)" + branch))).alias("branches"),
+            )
+
+        def step(a, m):
+            blank = m["blank"]
             inside = ~blank & a["inside"]
-            opens = ~blank & ~a["inside"] & line.rlike(rules["start"])
-            single = ~blank & ~a["inside"] & ~opens & line.rlike(rules["line"])
-            code = ~blank & ~inside & ~opens & ~single
-            ends = line.rlike(rules["end"])
-            debt = (single | code) & line.rlike("TODO|FIXME|HACK")
+            opens = ~blank & ~a["inside"] & m["start"]
+            single = ~blank & ~a["inside"] & ~m["start"] & m["line"]
+            code = ~blank & ~a["inside"] & ~m["start"] & ~m["line"]
             return F.struct(
-                F.when(inside | opens, ~ends).otherwise(a["inside"]).alias("inside"),
+                F.when(inside | opens, ~m["end"]).otherwise(a["inside"]).alias("inside"),
                 (a["comment"] + (inside | opens | single).cast("int")).alias("comment"),
                 (a["blank"] + blank.cast("int")).alias("blank"),
-                (a["todo"] + debt.cast("int")).alias("todo"),
-                (a["branches"] + F.when(code, F.regexp_count(line, F.lit("(?U)" + branch))).otherwise(0)).alias("branches"),
+                (a["todo"] + ((single | code) & m["debt"]).cast("int")).alias("todo"),
+                (a["branches"] + F.when(code, m["branches"]).otherwise(0)).alias("branches"),
             )
 
         zero = F.struct(
             F.lit(False).alias("inside"), F.lit(0).alias("comment"), F.lit(0).alias("blank"), F.lit(0).alias("todo"), F.lit(0).alias("branches")
         )
-        return F.aggregate(lines, zero, step)
+        return F.aggregate(F.transform(lines, marks), zero, step)
 
     return _by_language(build)
 

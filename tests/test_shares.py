@@ -25,3 +25,11 @@ def test_changes_are_dealt_out_by_their_number(spark, tmp_path, monkeypatch):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_sources_are_dealt_out_by_their_number(spark, tmp_path, monkeypatch):
+    table(spark, tmp_path, "part", [(k, k % 50) for k in range(100)] + [(None, 1)], "p_partkey long, p_size int")
+    monkeypatch.setattr(inputs, "SOURCES_A_TASK", 10)
+    sources = inputs.read(spark, str(tmp_path), "SRC")
+    assert sources.rdd.getNumPartitions() == 11
+    assert sources.count() == 101

@@ -121,3 +121,14 @@ def test_sarif_documents_are_valid_json(spark, tmp_path):
     for repo, count in (("r1", 3), ("r2", 1)):
         text = "".join(r["line"] for r in lines.where(F.col("repo") == repo).orderBy("section", "ordinal").collect())
         assert len(json.loads(text)["runs"][0]["results"]) == count
+
+
+def test_comment_walk_by_hand(spark):
+    go = "\t \n/* TODO a\nif x {\n\n// FIXME inside\nend */\nif a&& b { // HACK\n// TODO if\nx()\n"
+    rows = [("r", "a.go", go), ("r", "b.go", ""), ("r", "c.go", None)]
+    got = {r["file_path"]: r for r in op.comment_profile(spark.createDataFrame(rows, "repo string, file_path string, source string")).collect()}
+    a = got["a.go"]
+    assert (a["loc"], a["blank_lines"], a["comment_lines"], a["todo_count"], a["sloc"]) == (9, 2, 5, 2, 2)
+    assert a["cyclomatic_complexity"] == 3
+    assert (got["b.go"]["loc"], got["b.go"]["cyclomatic_complexity"]) == (0, 1)
+    assert got["c.go"]["cyclomatic_complexity"] is None
