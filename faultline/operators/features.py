@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from faultline.operators.running import DAY, day_level, exact_quantiles, quarter_level, running, stepwise
+from faultline.session import materialize
 
 FILE = ["repo", "file_path"]
 
@@ -153,20 +154,23 @@ def causal_rank(snapshots, columns, key=None):
     values that share the higher digits form a node, and a running count per digit
     over time tells how many earlier snapshots have a smaller digit in the node.
     Adding these over the positions gives the exact count with a handful of rows
-    per snapshot; each running count is cut by time, the dense ranks by quantiles of the values. A null has no rank.
+    per snapshot; each running count is cut by time, the dense ranks by quantiles of the values. A null has no rank. Values,
+    dense ranks and their places are written once, so what made the snapshots is not worked out again for every use.
     """
     key = key or [*FILE, "commit_id"]
     stamped = _stamped(snapshots)
     cells = stamped.select(
         *key, "ts", F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns]))
     ).where("x IS NOT NULL AND ts IS NOT NULL")
-    points = cells.groupBy("repo", "feature", "x", "ts").agg(F.count(F.lit(1)).alias("m"))
+    cells = materialize(cells, "cells")
+    points = materialize(cells.groupBy("repo", "feature", "x", "ts").agg(F.count(F.lit(1)).alias("m")), "points")
 
     values = points.select("repo", "feature", "x").distinct().withColumn("one", F.lit(1).cast("long"))
     values, level = _level_from_data(values)
     dense = stepwise(values, ["repo", "feature"], "x", level, {"pos": ("sum", "one")}).select("repo", "feature", "x", "pos")
+    dense = materialize(dense, "dense")
     sizes = dense.groupBy("repo", "feature").agg(F.max("pos").alias("top"))
-    placed = points.join(dense, ["repo", "feature", "x"]).join(sizes, ["repo", "feature"])
+    placed = materialize(points.join(dense, ["repo", "feature", "x"]).join(sizes, ["repo", "feature"]), "placed")
 
     base = 1 << DIGIT_BITS
     depth = F.greatest(F.ceil(F.log2(F.col("top") + 1.0) / DIGIT_BITS), F.lit(1)).cast("int")
@@ -177,11 +181,10 @@ def causal_rank(snapshots, columns, key=None):
         F.expr(f"shiftright(pos, (digit_no + 1) * {DIGIT_BITS})").alias("node"),
         F.expr(f"cast(shiftright(pos, digit_no * {DIGIT_BITS}) & {base - 1} AS int)").alias("digit"),
     )
-    counts = digits.select(
-        "repo", "feature", "digit_no", "node", "ts", *[F.when(F.col("digit") == d, F.col("m")).otherwise(0).alias(f"m{d}") for d in range(base)]
-    )
     node = ["repo", "feature", "digit_no", "node"]
-    seen = stepwise(counts, node, "ts", quarter_level(F.col("ts")), {f"s{d}": ("sum", f"m{d}") for d in range(base)}, inclusive=True)
+    counts = digits.select(*node, "ts", "digit", "m")
+    of_digit = {f"s{d}": ("sum", F.when(F.col("digit") == d, F.col("m")).otherwise(0)) for d in range(base)}
+    seen = stepwise(counts, node, "ts", quarter_level(F.col("ts")), of_digit, inclusive=True)
     seen = seen.select(*node, "ts", F.array(*[f"s{d}" for d in range(base)]).alias("seen"))
     # smaller digits count at every position; at the last position the value itself counts too; all digits of the first are the total
     upto = F.slice(F.col("seen"), F.lit(1), F.col("digit") + F.when(F.col("digit_no") == 0, 1).otherwise(0))

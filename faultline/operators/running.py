@@ -108,7 +108,7 @@ def stepwise(events, keys, order, level, aggs, inclusive=False):
             are dealt out by keys and bucket and combined per position there; the totals of a bucket come from the same rows.
     level:  the bucket, non-decreasing in `order`, with a bounded number of positions: what one task holds of a
             group is bounded by that number, whatever the data.
-    aggs:   {name: ("sum" | "max" | "min", input column)}; `name` is the aggregate before the position (and at it if
+    aggs:   {name: ("sum" | "max" | "min", input column or expression)}; `name` is the aggregate before the position (and at it if
             inclusive), `at_name` the one of the position alone. Sums are 0 before the first position, others null.
     """
     kinds = {out: kind for out, (kind, _) in aggs.items()}

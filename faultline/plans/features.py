@@ -7,6 +7,7 @@ from faultline.operators.history import file_history
 from faultline.operators.commits import score_commits
 from faultline.plans.history import FCS
 from faultline.plans.registry import query
+from faultline.session import materialize
 
 ROW = ["repo", "file_path", "commit_id"]
 
@@ -189,7 +190,7 @@ SELECT a.repo, a.file_path, a.commit_id, """
 )
 def ownership_ranks(sn, fc):
     """Ranks of the ownership columns among the repository's snapshots so far."""
-    owned = op.ownership_features(with_history(sn, fc)).select(*ROW, "commit_date", *OWNED)
+    owned = materialize(op.ownership_features(with_history(sn, fc)).select(*ROW, "commit_date", *OWNED), "owned")
     return op.causal_rank(owned, OWNED).select(*ROW, *[f"rank_{c}" for c in OWNED])
 
 

@@ -100,3 +100,19 @@ def test_knots_upto(spark):
     rows = [(sorted(float(rng.randrange(9)) for _ in range(rng.randint(0, 12))), float(rng.randrange(-1, 10))) for _ in range(200)]
     got = spark.createDataFrame(rows, "k array<double>, x double").select("k", "x", knots_upto(F.col("k"), F.col("x")).alias("n")).collect()
     assert all(r.n == sum(v <= r.x for v in r.k) for r in got)
+
+
+def test_causal_rank_works_its_input_out_twice_at_most(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [("r", "f", i, 86400 * (i % 7), float(i % 50)) for i in range(200)]
+    df = spark.createDataFrame(rows, "repo string, file_path string, commit_id long, t long, x double").mapInArrow(
+        counted, "repo string, file_path string, commit_id long, t long, x double"
+    ).withColumn("commit_date", F.timestamp_seconds("t"))
+    assert len(features.causal_rank(df, ["x"]).collect()) == 200
+    assert read.value <= 400
