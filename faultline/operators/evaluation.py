@@ -18,11 +18,12 @@ def score_points(df, keys, y="y", p="p"):
     )
 
 
-def ranked_points(points, keys):
-    """Points with the positives and rows scored strictly higher, and the totals of the group."""
+def ranked_points(points, keys, level=None):
+    """Points with the positives and rows scored strictly higher, and the totals of the group. `level`, a column of points that does not
+    decrease as p falls, cuts them where scores crowd."""
     down = points.withColumn("_down", -F.col("p"))
     placed = running(
-        down, keys, [value_level(F.col("_down"))], ["_down"], {"tp_before": ("sum", "pos"), "n_before": ("sum", "n")}
+        down, keys, [value_level(F.col("_down")) if level is None else level], ["_down"], {"tp_before": ("sum", "pos"), "n_before": ("sum", "n")}
     ).drop("_down")
     sums = [F.sum("pos").alias("positives"), F.sum("n").alias("total")]
     if keys:
@@ -46,7 +47,12 @@ def _pair_share():
 
 
 def average_precision(df, keys, y="y", p="p"):
-    return ranked_points(score_points(df, keys, y, p), keys).groupBy(*keys).agg(_precision_area().alias("pr_auc"))
+    return precision_areas(ranked_points(score_points(df, keys, y, p), keys), keys)
+
+
+def precision_areas(placed, keys):
+    """The average precision of ranked points."""
+    return placed.groupBy(*keys).agg(_precision_area().alias("pr_auc"))
 
 
 def roc_auc(df, keys, y="y", p="p", one_class=0.0):

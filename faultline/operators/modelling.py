@@ -376,12 +376,16 @@ def shuffled(df, columns, key, seed=42):
 
 def permutation_importance(fitted, df, key, columns=None, seed=42):
     """Loss of PR-AUC when a feature is shuffled, per feature. Rows are written out once for each feature, the shuffled value in its
-    place, and all are scored in one pass."""
+    place, and all are scored in one pass; the counts per distinct score are written, and cut into even ranges of them: the scores of
+    a weak model crowd."""
     columns = list(columns or fitted.columns)
     rows = shuffled(df, columns, key, seed)
     cases = [F.struct(F.lit(c).alias("feature"), *[(F.col("_shuffled")[x] if x == c else F.col(x).cast("double")).alias(x) for x in fitted.columns]) for c in ("", *columns)]
     scored = fitted.score(rows.select(LABEL, F.inline(F.array(*cases))))
-    areas = materialize(evaluation.average_precision(scored, ["feature"], y=LABEL), "importance")
+    points = materialize(evaluation.score_points(scored, ["feature"], y=LABEL), "points")
+    dealt = materialize(points.repartitionByRange("feature", -F.col("p")).withColumn("_part", F.spark_partition_id()), "dealt")
+    placed = evaluation.ranked_points(dealt, ["feature"], F.when(F.col("p").isNotNull(), F.col("_part")))
+    areas = materialize(evaluation.precision_areas(placed, ["feature"]), "importance")
     base = areas.where("feature = ''").select("pr_auc").scalar()
     return areas.where("feature <> ''").select("feature", (base - F.col("pr_auc")).alias("importance"))
 
