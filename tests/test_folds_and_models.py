@@ -107,3 +107,17 @@ def test_preprocessing_uses_training_statistics_only(spark):
     row = modelling.preprocess(other, train, ["x"]).first()["features"]
     filled = np.array([1.0, 3.0, 1.0])
     assert abs(row[0] - (1.0 - filled.mean()) / filled.std(ddof=1)) < 1e-9 and len(row) == 2
+
+
+def test_a_forest_is_dealt_out_by_rows_and_trees(spark, monkeypatch):
+    """One part of rows is fitted in as many tasks as rows times trees ask for, and rows that remember their nodes give the same forest."""
+    monkeypatch.setattr(modelling, "VISITS_A_TASK", 1000, raising=False)
+    rows = spark.range(0, 1000, 1, 1).select(F.pmod(F.hash("id"), F.lit(97)).alias("x"), F.pmod(F.hash("id"), F.lit(2)).alias("future_bug_fix"))
+    context = spark.sparkContext
+    context.setJobGroup("forest", "forest")
+    fitted = modelling.train(rows, ["x"], "random_forest", numTrees=5, maxDepth=3)
+    status = context.statusTracker()
+    stages = [status.getStageInfo(s) for job in status.getJobIdsForGroup("forest") for s in status.getJobInfo(job).stageIds]
+    assert max(s.numTasks for s in stages if s and "RandomForest" in s.name) == 5
+    plain = modelling.train(rows, ["x"], "random_forest", numTrees=5, maxDepth=3, cacheNodeIds=False)
+    assert fitted.score(rows).exceptAll(plain.score(rows)).isEmpty()
