@@ -104,10 +104,11 @@ VISITS_A_TASK = 6_000_000
 
 
 def dealt(df, trees):
-    """df in even parts of at most VISITS_A_TASK rows times trees; as it is where one part would do. Rows are narrow, so the bytes of
-    their files ask for too few tasks."""
-    parts = -(-df.count() * trees // VISITS_A_TASK)
-    return df.repartition(parts) if parts > 1 else df
+    """df in even parts of at most VISITS_A_TASK rows times trees; as it is where its own parts are no larger. Rows are narrow, so the
+    bytes of their files ask for too few tasks."""
+    sizes = df.select(F.spark_partition_id().alias("part")).groupBy("part").count()
+    rows, largest = sizes.agg(F.sum("count"), F.max("count")).first()
+    return df.repartition(-(-rows * trees // VISITS_A_TASK)) if (largest or 0) * trees > VISITS_A_TASK else df
 
 
 def train(df, columns, name, **overrides):
