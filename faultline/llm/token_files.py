@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 
 from faultline.llm import tokens
 from faultline.llm.ans import Coder, quantise
-from faultline.llm.common import chunks, texts_of, utf8
+from faultline.llm.common import chunks, texts_of, tidy, utf8
 
 #: Tokens after which a block is closed; a longer document is a block of its own.
 BLOCK = 1 << 16
+#: Bytes of text whose distinct pieces are looked up together.
+LOOKED_UP = 2 << 20
 #: Blocks coded side by side.
 ABREAST = 64
 MODEL = "id int, freq long"
@@ -37,7 +39,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         encoder = tokens.byte_level(tokenizer)
         for batch in batches:
             texts, out = utf8(batch.column("text")), []
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, LOOKED_UP):
                 ids, sizes = encoder(texts[a:b])
                 ends = np.cumsum(sizes)
                 whole = np.insert(ids, ends, end_id).astype("<u2")
@@ -47,7 +49,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     if tokens.library(tokenizer).get_vocab_size() > 1 << 16 or end_id >= 1 << 16:
         raise ValueError("ids are kept in 16 bits")
-    return texts_of(docs).mapInArrow(run, "doc_id long, ids binary")
+    return texts_of(docs).mapInArrow(tidy(run), "doc_id long, ids binary")
 
 
 def count_ids(ids: DataFrame) -> DataFrame:
@@ -56,8 +58,9 @@ def count_ids(ids: DataFrame) -> DataFrame:
     def run(batches):
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for value in batch.column("ids"):
-                total += np.bincount(np.frombuffer(value.as_buffer(), "<u2"), minlength=1 << 16)
+            values = [v.as_buffer() for v in batch.column("ids")]
+            for a, b in chunks(values):
+                total += np.bincount(np.frombuffer(b"".join(values[a:b]), "<u2"), minlength=1 << 16)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["id", "n"])
 

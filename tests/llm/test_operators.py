@@ -513,3 +513,15 @@ def test_pipeline(spark, docs):
         if name == "secret scans":
             assert not any(spans_by_hand(r.text) for r in kept.collect())
     assert corpus_pipeline.STAGES[-1][1](spark, kept, SF).select("doc_id").distinct().count() == kept.count()
+
+
+def test_byte_level_looks_a_word_up_once_whatever_signs_follow():
+    """A call hands each distinct word and each run of signs to the table once; the ids are the library's, odd white space included."""
+    encoder = tokens.ByteLevelIds(vocabulary("byte_bpe_50k.json"))
+    asked, known = [], encoder.table.encode
+    encoder.table.encode = lambda pieces: asked.extend(pieces) or known(pieces)
+    texts = ["a stone, a stone. a stone!\nstone Straße, Straße", "", "a  stone,", "stone  x", "\nx y\n", "x<|endoftext|> 3.14, don't", "tab\tx", " lead", "é ÷ × 日本."]
+    ids, sizes = encoder([t.encode() for t in texts])
+    want = [e.ids for e in tokens.library(vocabulary("byte_bpe_50k.json")).encode_batch_fast(texts, add_special_tokens=False)]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert len(asked) == len(set(asked)) and sum(p.strip(b".,!") == b"stone" for p in asked) == 1
