@@ -7,6 +7,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,16 +61,27 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.large_binary()).to_pylist()]
 
 
-def chunks(texts: list[bytes], limit: int = CHUNK_BYTES):
-    """(from, to) ranges of consecutive texts of about `limit` bytes each."""
+def spans(sizes: list[int], limit: int = CHUNK_BYTES):
+    """(from, to) ranges of consecutive texts of about `limit` bytes each, by the bytes of each text."""
     start = held = 0
-    for i, t in enumerate(texts):
-        if i > start and held + len(t) > limit:
+    for i, size in enumerate(sizes):
+        if i > start and held + size > limit:
             yield start, i
             start, held = i, 0
-        held += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+        held += size
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def chunks(texts: list[bytes], limit: int = CHUNK_BYTES):
+    """(from, to) ranges of consecutive texts of about `limit` bytes each."""
+    return spans([len(t) for t in texts], limit)
+
+
+def utf8_runs(column: pa.Array, limit: int = CHUNK_BYTES):
+    """Lists of consecutive values of a string column as UTF-8 bytes, about `limit` bytes each; null as no bytes."""
+    for a, b in spans(pc.binary_length(column).fill_null(0).to_pylist(), limit):
+        yield utf8(column.slice(a, b - a))
 
 
 def spans_to_flat(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -124,8 +136,9 @@ class PieceTable:
         at = np.fromiter(map(self.index.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
         unseen = np.flatnonzero(at < 0)
         if len(unseen):
-            self._add(list(dict.fromkeys(pieces[i] for i in unseen.tolist())))
-            at[unseen] = np.fromiter((self.index[pieces[i]] for i in unseen.tolist()), np.int64, len(unseen))
+            new = [pieces[i] for i in unseen.tolist()]
+            self._add(list(dict.fromkeys(new)))
+            at[unseen] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
         sizes = self.size[at]
         return self.flat[spans_to_flat(self.begin[at], sizes)], sizes
 

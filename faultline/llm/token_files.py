@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 
 from faultline.llm import tokens
 from faultline.llm.ans import Coder, quantise
-from faultline.llm.common import chunks, texts_of, tidy, utf8
+from faultline.llm.common import chunks, texts_of, tidy, utf8_runs
 
 #: Tokens after which a block is closed; a longer document is a block of its own.
 BLOCK = 1 << 16
-#: Bytes of text whose distinct pieces are looked up together.
-LOOKED_UP = 2 << 20
+#: Bytes of text that a task cuts into pieces at once.
+CUT_UP = 2 << 20
 #: Blocks coded side by side.
 ABREAST = 64
 MODEL = "id int, freq long"
@@ -38,14 +38,14 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches):
         encoder = tokens.byte_level(tokenizer)
         for batch in batches:
-            texts, out = utf8(batch.column("text")), []
-            for a, b in chunks(texts, LOOKED_UP):
-                ids, sizes = encoder(texts[a:b])
+            keys, at = batch.column("doc_id"), 0
+            for ids, sizes in encoder.runs(utf8_runs(batch.column("text"), CUT_UP)):
                 ends = np.cumsum(sizes)
                 whole = np.insert(ids, ends, end_id).astype("<u2")
-                bounds = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]).tolist()
-                out += [whole[x:y].tobytes() for x, y in zip(bounds, bounds[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "ids"])
+                bounds = 2 * np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
+                column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(bounds), pa.py_buffer(whole)])
+                yield pa.RecordBatch.from_arrays([keys.slice(at, len(ends)), column.cast(pa.binary())], ["doc_id", "ids"])
+                at += len(ends)
 
     if tokens.library(tokenizer).get_vocab_size() > 1 << 16 or end_id >= 1 << 16:
         raise ValueError("ids are kept in 16 bits")

@@ -23,11 +23,14 @@ SPACE_LEADS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x8
 CONTROL_SPACE = b"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 #: Marks a piece that no space precedes, and stands for a space inside it: bytes that UTF-8 never holds.
 WHOLE, KEPT_SPACE = b"\xff", b"\xfe"
-#: Words of Latin letters only: one pre-token, which the model takes without the steps before it.
-LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: Words of Latin letters only, marked WHOLE or not: one pre-token, which the model takes without the steps before it.
+LETTERS = re.compile(rb"\xff?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 SMALL_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 #: Signs that end a word's pre-token and form the next one.
 SIGNS = b".,;:!?#$%&*|"
+IS_SIGN = np.isin(np.arange(256), list(SIGNS))
+#: Bytes of text whose distinct pieces are told apart together, and how many of these are looked up at a time.
+TOGETHER, AT_ONCE = 32 << 20, 1 << 16
 
 
 def byte_characters() -> dict[int, int]:
@@ -112,7 +115,8 @@ class _Words:
             if piece.isalpha():  # of A-Z and a-z, which stand for themselves
                 out[i] = [t.id for t in tokenize(space + piece.decode())]
             elif LETTERS.fullmatch(piece):
-                out[i] = [t.id for t in tokenize(space + piece.decode("latin-1").translate(BYTE_CHARACTERS))]
+                word = piece.lstrip(WHOLE).decode("latin-1").translate(BYTE_CHARACTERS)
+                out[i] = [t.id for t in tokenize(word if piece[:1] == WHOLE else space + word)]
             else:
                 hard.append(i)
         for i, ids in zip(hard, _encode(self.path, [self._text(pieces[i]) for i in hard])):
@@ -121,28 +125,38 @@ class _Words:
 
 
 def _cut(text: bytes, leads: list[bytes]) -> bytes:
-    """`text` with a space wherever pre-tokens part: before each line feed too. With longer or other white space than single ones inside
-    it, the text is one piece. `leads`: those of SPACE_LEADS to look for."""
+    """`text` with a space wherever pre-tokens part: before and after each line feed too, where a WHOLE piece begins. With longer or other
+    white space than single ones inside it, the text is one piece. `leads`: those of SPACE_LEADS to look for."""
     spaced = text.replace(b"\n", b" \n")
     longer = b"  " in spaced or b"\n " in spaced or spaced[:1] == b" " or spaced[-1:] in (b" ", b"\n")
     if longer or len(text.translate(None, CONTROL_SPACE)) < len(text) or (leads and OTHER_SPACE.search(text)):
         return text.replace(b" ", KEPT_SPACE)
-    return spaced
+    return spaced.replace(b"\n", b"\n " + WHOLE)
 
 
-def _values(column: pa.LargeBinaryArray) -> list[bytes]:
-    """The values of a column without nulls that is no slice, several times as fast as to_pylist."""
+def _column(values: list[bytes]) -> pa.LargeBinaryArray:
+    """The values as a column; pa.array takes many times as long over long ones."""
+    ends = np.cumsum([0, *map(len, values)])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(values), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(values))])
+
+
+def _values(column: pa.LargeBinaryArray, a: int, b: int) -> tuple[list[bytes], np.ndarray]:
+    """The values from `a` up to `b`, and the last byte of each, of a column of at least one without nulls and empty values that is no
+    slice; several times as fast as to_pylist."""
     _, offsets, data = column.buffers()
-    ends, data = np.frombuffer(offsets, np.int64, len(column) + 1).tolist(), data.to_pybytes() if data else b""
-    return [data[a:b] for a, b in zip(ends, ends[1:])]
+    ends = np.frombuffer(offsets, np.int64, b - a + 1, 8 * a)
+    data = data.slice(ends[0], ends[-1] - ends[0]).to_pybytes()
+    ends = ends - ends[0]
+    at = ends.tolist()
+    return [data[x:y] for x, y in zip(at, at[1:])], np.frombuffer(data, np.uint8)[ends[1:] - 1]
 
 
 class ByteLevelIds:
     """Ids under a byte-level tokenizer whose pre-tokens take one leading space.
 
     Single spaces and line feeds begin a pre-token wherever the white space is one character long, so the text is
-    cut there. A text with longer or other white space is encoded whole. The pieces of a call are told apart by Arrow, so each distinct one
-    is looked up once, a word and the signs after it apart.
+    cut there. A text with longer or other white space is encoded whole. The pieces of many texts are told apart by Arrow, so each
+    distinct one is looked up once, a word and the signs after it apart.
     """
 
     def __init__(self, path: str):
@@ -150,28 +164,53 @@ class ByteLevelIds:
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order, and how many each text has."""
+        runs = list(self.runs([texts]))
+        return runs[0] if runs else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+
+    def runs(self, lists):
+        """Ids of all texts of each list in order, and how many each text has; the pieces of the lists are looked up together."""
+        held, size = [], 0
+        for texts in lists:
+            if texts:
+                held.append(self._pieces(texts))
+                size += sum(map(len, texts))
+            if size >= TOGETHER:
+                yield from self._coded(held)
+                held, size = [], 0
+        if held:
+            yield from self._coded(held)
+
+    def _pieces(self, texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The pieces of all texts, and how many each text has."""
         together = b"\n".join(texts)
         leads = [x for x in SPACE_LEADS if x in together]
-        cut = pc.split_pattern(pa.array([WHOLE + _cut(t, leads) for t in texts], pa.large_binary()), " ")
-        coded = cut.flatten().dictionary_encode()
-        parts: list[bytes] = []
-        pairs: list[int] = []
-        distinct = _values(coded.dictionary)
-        for i, piece in enumerate(distinct):
-            if piece[-1] in SIGNS:
-                stem = piece.rstrip(SIGNS)
-                if stem.isalpha() or LETTERS.fullmatch(stem):
-                    parts += (stem, WHOLE + piece[len(stem) :])
-                    pairs.append(i)
-                    continue
-            parts.append(piece)
-        counts = np.ones(len(distinct), np.int64)
-        counts[pairs] = 2
-        ids, sizes = self.table(parts)
-        sizes = per_text(sizes, counts)
-        each = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids))
-        words = per_text(sizes[coded.indices.to_numpy()], cut.value_lengths().to_numpy())
-        return each.take(coded.indices).flatten().to_numpy(), words
+        cut = pc.split_pattern(_column([WHOLE + _cut(t, leads) for t in texts]), " ")
+        return cut.flatten().dictionary_encode(), cut.value_lengths().to_numpy()
+
+    def _coded(self, held: list[tuple[pa.DictionaryArray, np.ndarray]]):
+        runs = pa.chunked_array([pieces for pieces, _ in held]).unify_dictionaries().chunks
+        distinct = runs[0].dictionary
+        each = pa.concat_arrays([self._ids(*_values(distinct, a, min(a + AT_ONCE, len(distinct)))) for a in range(0, len(distinct), AT_ONCE)])
+        sizes = each.value_lengths().to_numpy()
+        for run, (_, counts) in zip(runs, held):
+            yield each.take(run.indices).flatten().to_numpy(), per_text(sizes[run.indices.to_numpy()], counts)
+
+    def _ids(self, pieces: list[bytes], last: np.ndarray) -> pa.LargeListArray:
+        """The ids of each piece. `last`: the last byte of each; signs at the end are looked up apart."""
+        n, pairs, tails = len(pieces), [], []
+        for i in np.flatnonzero(IS_SIGN[last]).tolist():
+            piece = pieces[i]
+            stem = piece.rstrip(SIGNS)
+            if stem.isalpha() or LETTERS.fullmatch(stem):
+                pieces[i] = stem
+                pairs.append(i)
+                tails.append(WHOLE + piece[len(stem) :])
+        ids, sizes = self.table(pieces + tails)
+        parts = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), pa.array(ids))
+        order = np.argsort(np.concatenate([np.arange(n), np.array(pairs, np.int64)]), kind="stable")
+        whole = sizes[:n].copy()
+        whole[pairs] += sizes[n:]
+        return pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(whole)]), parts.take(pa.array(order)).flatten())
 
 
 class SpacedIds:

@@ -525,3 +525,22 @@ def test_byte_level_looks_a_word_up_once_whatever_signs_follow():
     want = [e.ids for e in tokens.library(vocabulary("byte_bpe_50k.json")).encode_batch_fast(texts, add_special_tokens=False)]
     assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
     assert len(asked) == len(set(asked)) and sum(p.strip(b".,!") == b"stone" for p in asked) == 1
+
+
+def test_byte_level_looks_a_piece_up_once_for_many_runs(monkeypatch):
+    """Runs of texts that are taken together ask the table once for each distinct piece, a line's first word apart from its line feed; the
+    ids are the library's however few bytes are taken together and however few pieces are looked up at a time."""
+    encoder = tokens.ByteLevelIds(vocabulary("byte_bpe_50k.json"))
+    asked, table = [], encoder.table
+    encoder.table = lambda pieces: asked.extend(pieces) or table(pieces)
+    lists = [["a stone, a stone\nRock.\nRock", "", "Straße"], [], ["stone!\nRock a stone, stone Straße,"], ["\n", "a  stone"], odd_texts(50)]
+    coded = list(encoder.runs([t.encode() for t in texts] for texts in lists))
+    assert asked.count(b"stone") == asked.count(tokens.WHOLE + b"Rock") == 2  # alone and with a sign after it
+    assert not any(p[:1] == b"\n" and len(p) > 1 for p in asked)
+    want = [library_ids("byte_bpe_50k.json", texts) for texts in lists if texts]
+    for together, at_once in ((tokens.TOGETHER, tokens.AT_ONCE), (30, 3), (1, 1)):
+        monkeypatch.setattr(tokens, "TOGETHER", together)
+        monkeypatch.setattr(tokens, "AT_ONCE", at_once)
+        coded = list(encoder.runs([t.encode() for t in texts] for texts in lists))
+        assert [sizes.tolist() for _, sizes in coded] == [[len(w) for w in run] for run in want]
+        assert [ids.tolist() for ids, _ in coded] == [[i for w in run for i in w] for run in want]
