@@ -40,12 +40,14 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         for batch in batches:
             keys, at = batch.column("doc_id"), 0
             for ids, sizes in encoder.runs(utf8_runs(batch.column("text"), CUT_UP)):
-                ends = np.cumsum(sizes)
-                whole = np.insert(ids, ends, end_id).astype("<u2")
-                bounds = 2 * np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
-                column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(bounds), pa.py_buffer(whole)])
-                yield pa.RecordBatch.from_arrays([keys.slice(at, len(ends)), column.cast(pa.binary())], ["doc_id", "ids"])
-                at += len(ends)
+                n, ends = len(sizes), np.cumsum(sizes)
+                whole = np.full(len(ids) + n, end_id, "<u2")
+                for i, (a, b) in enumerate(zip((ends - sizes).tolist(), ends.tolist())):
+                    whole[a + i : b + i] = ids[a:b]
+                bounds = 2 * np.concatenate([[0], ends + np.arange(1, n + 1)])
+                column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(whole)])
+                yield pa.RecordBatch.from_arrays([keys.slice(at, n), column.cast(pa.binary())], ["doc_id", "ids"])
+                at += n
 
     if tokens.library(tokenizer).get_vocab_size() > 1 << 16 or end_id >= 1 << 16:
         raise ValueError("ids are kept in 16 bits")

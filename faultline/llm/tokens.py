@@ -191,9 +191,10 @@ class ByteLevelIds:
         runs = pa.chunked_array([pieces for pieces, _ in held]).unify_dictionaries().chunks
         distinct = runs[0].dictionary
         each = pa.concat_arrays([self._ids(*_values(distinct, a, min(a + AT_ONCE, len(distinct)))) for a in range(0, len(distinct), AT_ONCE)])
-        sizes = each.value_lengths().to_numpy()
         for run, (_, counts) in zip(runs, held):
-            yield each.take(run.indices).flatten().to_numpy(), per_text(sizes[run.indices.to_numpy()], counts)
+            coded = each.take(run.indices)
+            ends = coded.offsets.to_numpy()[np.cumsum(counts)]
+            yield coded.flatten().to_numpy(), np.diff(ends, prepend=0)
 
     def _ids(self, pieces: list[bytes], last: np.ndarray) -> pa.LargeListArray:
         """The ids of each piece. `last`: the last byte of each; signs at the end are looked up apart."""
