@@ -55,7 +55,7 @@ def train_forest(sn):
 
 @query("train_boosted", "SN")
 def train_boosted(sn):
-    return scores(sn, "boosted", maxIter=5, maxDepth=3)
+    return scores(sn, "boosted")
 
 
 @query("tune", "SN")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline.operators import cells, modelling
+from faultline.plans import modelling as plans
 
 
 def made(spark, n=4000, parts=4):
@@ -60,3 +61,21 @@ def test_boosted_trees_on_cells_are_those_by_rows(spark):
     model = Pipeline(stages=[*stages, modelling.classifier("boosted", maxIter=5)]).fit(modelling.with_class_weights(modelling.with_flags(ready, flagged, fills)))
     plain = by_cell(modelling.Fitted(model, ["a", "b"], flagged, fills).score(rows))
     assert by_cell(modelling.train(rows, ["a", "b"], "boosted", maxIter=5).score(rows)) == pytest.approx(plain, abs=1e-9)
+
+
+def test_the_boosted_query_runs_all_rounds(spark, monkeypatch):
+    seen = []
+
+    class Score:
+        def score(self, df):
+            return df.withColumn("p", F.lit(0.5))
+
+    def train(df, columns, name, **overrides):
+        seen.append(modelling.classifier(name, **overrides))
+        return Score()
+
+    monkeypatch.setattr(plans.op, "train", train)
+    rows = [("r", f"f{i}", i, i, i % 2) for i in range(20)]
+    sn = spark.createDataFrame(rows, "repo string, file_path string, commit_id long, day int, future_bug_fix int")
+    plans.train_boosted(sn.withColumn("commit_date", F.expr("timestamp '2024-01-01' + make_interval(0, 0, 0, day)")))
+    assert seen[0].getMaxIter() == 300 and seen[0].getMaxDepth() == 5
